@@ -19,9 +19,12 @@ def array_mean(values: Column) -> Column:
 
 
 def array_std_pop(values: Column) -> Column:
-    mean = array_mean(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.when(F.size(values) > 0, F.sqrt(squares / F.size(values)))
+    """Population standard deviation; the mean is bound once per row."""
+    def spread(state: Column) -> Column:
+        squares = F.aggregate(state.values, F.lit(0.0), lambda acc, x: acc + (x - state.mean) * (x - state.mean))
+        return F.sqrt(squares / F.size(state.values))
+    state = F.struct(values.alias("values"), array_mean(values).alias("mean"))
+    return F.when(F.size(values) > 0, F.get(F.transform(F.array(state), spread), F.lit(0)))
 
 
 def positive_folds(values: Column, threshold: float = 0.5) -> Column:

@@ -128,10 +128,16 @@ def word_tokens(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring tokens, joined by a blank."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """All runs of ``n`` neighbouring tokens, joined by a blank.
+
+    The token array is bound to a lambda variable, so it is built once per row and
+    not once per run.
+    """
+    def runs(held: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(held) - F.lit(n - 1))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(held, i, n), " "))
+        return F.when(F.size(held) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(tokens), runs), F.lit(0))
 
 
 def content_signature(*parts: Column) -> Column:

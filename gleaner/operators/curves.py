@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import confusion as cm
-from gleaner.operators.ordering import Splits, find_splits, running_sums
+from gleaner.operators.ordering import Splits, find_splits, present, running_sums
 
 EXACT_POSITIONS = 256
 INFINITE = float("inf")
@@ -23,7 +23,7 @@ INFINITE = float("inf")
 def score_counts(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per group and distinct score."""
     plain = F.col(score).cast("double") + F.lit(0.0)
-    return (df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+    return (df.where(present([*groups, score]) & F.col(label).isin(0, 1))
             .groupBy(*groups, plain.alias("score"))
             .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
 
@@ -76,8 +76,8 @@ def discount_sum(m: Column) -> Column:
     length costs the same.
     """
     table = np.concatenate([[0.0], np.cumsum(_discount(np.arange(1, EXACT_POSITIONS + 1)))])
-    exact = F.get(F.array(*[F.lit(float(v)) for v in table]), F.least(m, F.lit(EXACT_POSITIONS)).cast("int"))
-    sums = F.array(*[F.lit(v) for v in _doubling_sums()])
+    exact = F.get(F.lit(table), F.least(m, F.lit(EXACT_POSITIONS)).cast("int"))
+    sums = F.lit(np.array(_doubling_sums()))
     x = F.greatest(m, F.lit(EXACT_POSITIONS)).cast("double")
     power = F.floor(F.log2(x) + 1e-12).cast("int")
     start = F.pow(F.lit(2.0), power)
@@ -88,7 +88,7 @@ def discount_sum(m: Column) -> Column:
     def slope(c: Column) -> Column:
         return -math.log(2) / ((c + 1) * F.log(c + 1) * F.log(c + 1))
 
-    nodes, weights = np.polynomial.legendre.leggauss(10)
+    nodes, weights = np.polynomial.legendre.leggauss(6)
     half, middle = (x - start) / 2, (x + start) / 2
     area = F.lit(0.0)
     for node, weight in zip(nodes, weights):

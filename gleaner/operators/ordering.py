@@ -21,6 +21,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def _range_number(df: DataFrame, column: Column, points: Sequence[float], name:
     source = f"{name}_source"
     bucketizer = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol=source, outputCol=name)
     return (bucketizer.transform(df.withColumn(source, column))
-            .withColumn(name, F.col(name).cast("int")).drop(source))
+            .withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(0))).drop(source))
 
 
 def _plain(value: str) -> Column:
@@ -89,6 +90,18 @@ def _plain(value: str) -> Column:
     return F.when(F.isnan(as_double), F.lit(None)).otherwise(as_double)
 
 
+def present(names: Sequence[str]) -> Column:
+    """True where every named column has a value.
+
+    Stated on both sides of a later join, it keeps the plans below them equal,
+    and Spark then runs their common shuffle once.
+    """
+    out = F.lit(True)
+    for name in names:
+        out = out & F.col(name).isNotNull()
+    return out
+
+
 def _ordered(names: Sequence[str], descending: bool) -> list[Column]:
     return [F.desc(n) if descending else F.asc(n) for n in names]
 
@@ -100,14 +113,15 @@ def ranked(df: DataFrame, score: str, tie: str, groups: Sequence[str] = (), *, r
 
     ``rank`` gives ties their lowest rank; ``position`` counts 1..n with ties in
     the order of the numeric, unique column ``tie``. Rows without a score keep
-    NULL. Group columns must not be NULL.
+    NULL. Group columns must not be NULL. The input is read three times, so a
+    score that is costly to compute should be stored first.
     """
     splits = splits or find_splits(df, score, tie, ranges)
     groups = list(groups)
     out = _range_number(df, F.coalesce(_plain(score), F.lit(0.0)), splits.values, "_vr")
     out = _range_number(out, F.col(tie).cast("double"), splits.ties, "_tr")
     scored = _plain(score).isNotNull()
-    shares = F.array(*[F.lit(s) for s in splits.shares])
+    shares = F.lit(np.array(splits.shares))
     # A range of several quantiles holds one value; unscored rows spread likewise.
     share = F.when(scored, F.get(shares, F.col("_vr"))).otherwise(F.lit(splits.ranges))
     out = (out.withColumn("_share", share)
@@ -145,7 +159,8 @@ def running_sums(weights: DataFrame, value: str, sums: Sequence[str], groups: Se
     its value on the following row of the group, NULL on the last.
     """
     groups = list(groups)
-    out = _range_number(weights.where(_plain(value).isNotNull()), _plain(value), splits.values, "_vr")
+    held = weights.where(present([*groups, value]))
+    out = _range_number(held, _plain(value), splits.values, "_vr")
     first = F.min_by if not descending else F.max_by
     cells = out.groupBy(*groups, "_vr").agg(
         *[F.sum(c).alias(f"_s_{c}") for c in sums],
@@ -178,7 +193,7 @@ def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], groups
     """
     splits = splits or find_splits(df, value)
     groups = list(groups)
-    counted = (df.select(*groups, _plain(value).alias("_value")).where("_value is not null")
+    counted = (df.select(*groups, _plain(value).alias("_value")).where(present([*groups, "_value"]))
                .groupBy(*groups, "_value").agg(F.count("*").alias("_n")))
     placed = running_sums(counted, "_value", ["_n"], groups, splits=splits, descending=False)
     n, upto = F.col("all__n"), F.col("cum__n")

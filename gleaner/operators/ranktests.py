@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.distributions import (chi_square_tail, normal_two_sided, range_critical, range_tail)
 from gleaner.operators.confusion import ratio
-from gleaner.operators.ordering import Splits, find_splits, running_sums
+from gleaner.operators.ordering import Splits, find_splits, present, running_sums
 
 MOST_MODELS = 100
 
@@ -93,7 +93,7 @@ def mann_whitney(df: DataFrame, side: str, first, second, value: str, groups: Se
     """
     splits = splits or find_splits(df, value)
     in_a, in_b = F.col(side) == first, F.col(side) == second
-    counted = (df.where((in_a | in_b) & F.col(value).isNotNull())
+    counted = (df.where((in_a | in_b) & present([*groups, value]))
                .groupBy(*groups, F.col(value).cast("double").alias("_value"))
                .agg(F.count_if(in_a).alias("a"), F.count_if(in_b).alias("b")))
     table = running_sums(counted, "_value", ["a", "b"], groups, splits=splits, descending=False)

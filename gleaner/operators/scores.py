@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.ensemble import consensus
 from gleaner.functions.labels import decision, ranking_band, relevance_band
 from gleaner.operators.ordering import Splits, find_splits, quantiles
+from gleaner.session import materialize
 
 
 def ensemble_rows(scores: DataFrame, keys: Sequence[str], score: str = "score", fold: str = "fold",
@@ -52,13 +53,17 @@ def score_summary(df: DataFrame, score: str, groups: Sequence[str] = (), *, popu
     return plain.join(cuts, keys).drop("_whole")
 
 
-def ranking_summary(df: DataFrame, score: str, rank: str, groups: Sequence[str],
-                    splits: Splits | None = None) -> DataFrame:
-    """Score and rank statistics per class, sample standard deviation."""
-    scores = score_summary(df, score, groups, population=False, band=ranking_band, splits=splits)
-    ranks = df.groupBy(*groups).agg(F.min(rank).alias("rank_min"), F.max(rank).alias("rank_max"),
-                                    F.avg(rank).alias("rank_mean"))
-    middle = quantiles(df, rank, {"rank_median": 0.5}, groups)
+def ranking_summary(df: DataFrame, score: str, rank: str, groups: Sequence[str]) -> DataFrame:
+    """Score and rank statistics per class, sample standard deviation.
+
+    Reads its input several times, so the three columns it needs are written once.
+    """
+    held = materialize(df.select(*groups, score, rank), "ranking")
+    by_score, by_rank = find_splits(held, score), find_splits(held, rank)
+    scores = score_summary(held, score, groups, population=False, band=ranking_band, splits=by_score)
+    ranks = held.groupBy(*groups).agg(F.min(rank).alias("rank_min"), F.max(rank).alias("rank_max"),
+                                      F.avg(rank).alias("rank_mean"))
+    middle = quantiles(held, rank, {"rank_median": 0.5}, groups, splits=by_rank)
     return scores.join(ranks, list(groups)).join(middle, list(groups))
 
 

@@ -7,6 +7,7 @@ from gleaner.functions.ensemble import ensemble_result
 from gleaner.functions.losses import bce_with_logits, sigmoid, sigmoid_focal
 from gleaner.operators import scores as S
 from gleaner.operators.ordering import ranked
+from gleaner.session import materialize
 from registry.base import fold_scores, predictions, query, table
 
 LEVEL_SQL = """CASE WHEN score IS NULL THEN NULL WHEN score >= 0.8 THEN 'High Relevance'
@@ -33,7 +34,7 @@ SELECT id, valid, round(score, 9) AS ensemble_score, (score > 0.5)::INT AS ensem
        {LEVEL_SQL} AS level
 FROM ensembled""", "scored ensembled")
 def scored_ranking(spark, sf):
-    out = scored_records(spark, sf)
+    out = materialize(scored_records(spark, sf).drop("title", "abstract", "fold_scores"), "scored")
     out = ranked(out, "score", "id", rank="score_rank", position="position")
     return out.select("id", "valid", F.round("score", 9).alias("ensemble_score"),
                       F.col("prediction").alias("ensemble_prediction"), F.round("std_score", 9).alias("std_score"),
