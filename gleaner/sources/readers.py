@@ -52,13 +52,17 @@ def read_score_csv(spark: SparkSession, path: str) -> DataFrame:
     return score_input(read_csv(spark, path))
 
 
+def _given(value: Column) -> Column:
+    """True for a variant that is there and holds something."""
+    return value.isNotNull() & ~F.is_variant_null(value)
+
+
 def _member(keys: Column, members: Column, wanted: str) -> Column:
     """Value of the key that equals ``wanted`` in any case, else of the first that contains it."""
     exact = F.get(F.filter(keys, lambda k: F.lower(F.trim(k)) == wanted), F.lit(0))
     near = F.get(F.filter(keys, lambda k: F.lower(k).contains(wanted)), F.lit(0))
     value = F.try_element_at(members, exact)
-    is_null = F.coalesce(F.is_variant_null(value), F.lit(True))
-    return F.when(~is_null, value).otherwise(F.try_element_at(members, near))
+    return F.when(_given(value), value).otherwise(F.try_element_at(members, near))
 
 
 def _string_of(value: Column) -> Column:
@@ -87,11 +91,10 @@ def read_score_json(spark: SparkSession, path: str, lines: bool = False) -> Data
         F.col("kind").startswith("OBJECT"), F.from_json("raw", "map<string,variant>")))
     keys, members = F.json_object_keys("raw"), F.col("members")
     found_title = _member(keys, members, "title")
-    title_given = found_title.isNotNull() & ~F.coalesce(F.is_variant_null(found_title), F.lit(True))
     item_text = F.when(F.col("kind") == "STRING", F.try_variant_get("v", "$", "string"))
     abstract = clean_or_null(F.coalesce(_string_of(_member(keys, members, "abstract")), item_text))
     title = clean_or_null(_string_of(found_title))
-    valid = abstract.isNotNull() & (~F.coalesce(title_given, F.lit(False)) | title.isNotNull())
+    valid = abstract.isNotNull() & (~F.coalesce(_given(found_title), F.lit(False)) | title.isNotNull())
     return shaped.select("file", "item", abstract.alias("abstract"), title.alias("title"),
                          valid.alias("valid_for_scoring"), "raw")
 

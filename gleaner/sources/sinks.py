@@ -51,7 +51,8 @@ def write_scored(df: DataFrame, path: str, fmt: str) -> None:
     if fmt == "json":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
-        flatten_nested(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        (flatten_nested(df).write.mode("overwrite").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         raise ValueError(f"unsupported format: {fmt}")
 

@@ -1 +1,39 @@
+"""Bounded streams over files of the given tables."""
 
+from pyspark.sql import functions as F
+
+from gleaner.functions.ensemble import ensemble_result
+from gleaner.session import fresh_path
+from gleaner.streaming.scoring import arrivals, ingest_stream, score_stream
+from registry.base import fold_scores, query, table
+
+
+@query("streamed_scoring", """
+SELECT id, round(score, 9) AS score, (score > 0.5)::INT AS prediction, positive_folds FROM ensembled""", "scored ensembled")
+def streamed_scoring(spark, sf):
+    """Documents arrive as files, are scored chunk by chunk and appended."""
+    inbox, sink, state = (fresh_path(spark, n) for n in ("inbox", "scored", "state"))
+    records = fold_scores(spark, sf).select("id", "valid", "scores")
+    records.repartition(6, "id").write.parquet(inbox)
+
+    def scorer(df):
+        result = F.when(F.col("valid"), ensemble_result(F.col("scores")))
+        return df.select("id", result.alias("r")).select(
+            "id", F.col("r.ensemble_score").alias("score"), F.col("r.ensemble_prediction").alias("prediction"),
+            F.col("r.statistics.positive_folds").alias("positive_folds"))
+
+    query_ = score_stream(arrivals(spark, inbox, records.schema, files_per_trigger=3), scorer, sink, state)
+    query_.awaitTermination()
+    return spark.read.parquet(sink).withColumn("score", F.round("score", 9))
+
+
+@query("streamed_ingest", """
+SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id""")
+def streamed_ingest(spark, sf):
+    """Events arrive in files; the first of each user is stored, later ones are skipped."""
+    inbox, stored, state = (fresh_path(spark, n) for n in ("inbox", "stored", "state"))
+    events = table(spark, sf, "events").select("user_id", "event_id")
+    events.repartition(4, "event_id").write.parquet(inbox)
+    query_ = ingest_stream(arrivals(spark, inbox, events.schema, files_per_trigger=1), stored, "user_id", state)
+    query_.awaitTermination()
+    return spark.read.parquet(stored).groupBy("user_id").agg(F.count("*").alias("n"))
