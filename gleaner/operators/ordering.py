@@ -51,6 +51,8 @@ class Splits:
 def find_splits(df: DataFrame, value: str, tie: str | None = None, ranges: int | None = None) -> Splits:
     """Split points from one pass that reads only the named columns."""
     ranges = ranges or default_ranges(df)
+    if ranges < 2:
+        return Splits((), (1,), ())
     probabilities = [i / ranges for i in range(1, ranges)]
     columns = [F.col(value).cast("double").alias("v")]
     columns += [F.col(tie).cast("double").alias("t")] if tie else []
