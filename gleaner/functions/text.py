@@ -11,12 +11,15 @@ DASHES = "–—‐"
 # Letters, digits and underscore of any script, spelled out because Java's \w
 # is ASCII unless told otherwise and its Unicode form also takes in marks.
 WORD = r"\p{L}\p{N}_"
+# The characters that count as white space, as a class and one by one.
 BLANK = r"\s\p{Z}\x1c-\x1f\x85"
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_blank(text: Column) -> Column:
     """Remove leading and trailing white space of any kind, not only blanks."""
-    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_or_null(text: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,10 @@ def curves(df: DataFrame, label: str, score: str, groups: Sequence[str] = (),
 
 # --- discounted gain -------------------------------------------------------
 
+STEPS_PER_DOUBLING = 8
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(5)
+
+
 def _discount(x):
     return math.log(2) / np.log(x + 1)
 
@@ -55,46 +60,42 @@ def _slope(x):
     return -math.log(2) / ((x + 1) * np.log(x + 1) ** 2)
 
 
-def _doubling_sums(steps: int = 62) -> list[float]:
-    """Sum of the discounts of positions 1..2^j, for j = 0..steps."""
-    nodes, weights = np.polynomial.legendre.leggauss(16)
-    sums = [float(np.sum(_discount(np.arange(1, 2 ** j + 1)))) for j in range(9)]
-    for j in range(8, steps):
-        a, b = 2.0 ** j, 2.0 ** (j + 1)
-        x = (b - a) / 2 * nodes + (a + b) / 2
-        area = (b - a) / 2 * float(np.dot(weights, _discount(x)))
-        ends = (_discount(b) - _discount(a)) / 2 + (_slope(b) - _slope(a)) / 12
-        sums.append(sums[-1] + area + float(ends))
-    return sums
+@lru_cache(maxsize=1)
+def _grid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact sums of the first positions; then places eight per doubling, and the sum up to each.
+
+    The second sum leaves out the end terms that a step away from its place adds.
+    """
+    first = np.concatenate([[0.0], np.cumsum(_discount(np.arange(1, EXACT_POSITIONS + 1)))])
+    begin = STEPS_PER_DOUBLING * int(math.log2(EXACT_POSITIONS))
+    places = np.round(2.0 ** (np.arange(begin, 62 * STEPS_PER_DOUBLING) / STEPS_PER_DOUBLING))
+    half, middle = np.diff(places) / 2, (places[1:] + places[:-1]) / 2
+    area = half * np.sum(WEIGHTS * _discount(middle[:, None] + half[:, None] * NODES), axis=1)
+    ends = _discount(places) / 2 + _slope(places) / 12
+    sums = first[-1] + np.concatenate([[0.0], np.cumsum(area + np.diff(ends))])
+    return first, places, sums - ends
 
 
 def discount_sum(m: Column) -> Column:
     """Sum of 1 / log2(i + 1) for i = 1..m.
 
-    The first positions are looked up; beyond them the sum is a known value at
-    the last power of two plus an Euler-Maclaurin step to ``m``, so a tie of any
-    length costs the same.
+    The first positions are looked up; beyond them the sum is a known value at a
+    nearby place plus an Euler-Maclaurin step to ``m``, so a tie of any length
+    costs the same.
     """
-    table = np.concatenate([[0.0], np.cumsum(_discount(np.arange(1, EXACT_POSITIONS + 1)))])
-    exact = F.get(F.lit(table), F.least(m, F.lit(EXACT_POSITIONS)).cast("int"))
-    sums = F.lit(np.array(_doubling_sums()))
+    first, places, sums = _grid()
     x = F.greatest(m, F.lit(EXACT_POSITIONS)).cast("double")
-    power = F.floor(F.log2(x) + 1e-12).cast("int")
-    start = F.pow(F.lit(2.0), power)
-
-    def discount(c: Column) -> Column:
-        return math.log(2) / F.log(c + 1)
-
-    def slope(c: Column) -> Column:
-        return -math.log(2) / ((c + 1) * F.log(c + 1) * F.log(c + 1))
-
-    nodes, weights = np.polynomial.legendre.leggauss(10)
-    half, middle = (x - start) / 2, (x + start) / 2
+    begin = STEPS_PER_DOUBLING * int(math.log2(EXACT_POSITIONS))
+    index = F.floor(F.log2(x) * STEPS_PER_DOUBLING + 1e-9).cast("int") - begin
+    start = F.get(F.lit(places), index)
     area = F.lit(0.0)
-    for node, weight in zip(nodes, weights):
-        area = area + float(weight) * discount(half * float(node) + middle)
-    step = half * area + (discount(x) - discount(start)) / 2 + (slope(x) - slope(start)) / 12
-    return F.when(m <= EXACT_POSITIONS, exact).otherwise(F.get(sums, power) + step)
+    for node, weight in zip((1 + NODES) / 2, WEIGHTS):
+        area = area + float(weight * math.log(2)) / F.log(start + (x - start) * float(node) + 1)
+    log = F.log(x + 1)
+    ends = math.log(2) / 2 / log - math.log(2) / 12 / ((x + 1) * log * log)
+    beyond = F.get(F.lit(sums), index) + (x - start) / 2 * area + ends
+    exact = F.get(F.lit(first), F.least(m, F.lit(EXACT_POSITIONS)).cast("int"))
+    return F.when(m <= EXACT_POSITIONS, exact).otherwise(beyond)
 
 
 # --- results ----------------------------------------------------------------

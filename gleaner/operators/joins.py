@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1024  # a key is hot from 1/1024 of the rows on, so there are at most 1024
+HOT_SHARE = 256  # a key is hot from 1/256 of the rows on
 SALTS = 128
 
 
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Every key with at least 1/256 of the rows, and perhaps some without; never more than a few hundred.
+
+    One pass that keeps at most 256 counters per task. It may list a key too many,
+    which costs nothing but a few copies, and never misses one.
+    """
+    found = df.where(F.col(key).isNotNull()).select(key).stat.freqItems([key], 1 / HOT_SHARE).first()
+    return list(found[0] or []) if found else []
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
                 salt_by: str | None = None) -> DataFrame:
     """Join on ``key`` with a right side that has each key once.
 
-    Keys that hold at least 1/1024 of the left rows are found by a count that is
-    combined before its shuffle. Their rows are spread over salts, and the one
-    right row of each is repeated per salt. The list of hot keys cannot exceed
-    1024 rows, whatever the data, so it is broadcast. Left rows with a NULL key
-    match nothing; they go along under a spread of salts as well.
+    Left rows of hot keys are spread over salts, and the one right row of each hot
+    key is repeated per salt. Left rows with a NULL key match nothing; they go
+    along under a spread of salts as well.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = F.broadcast(counts.where(F.col("_n") * HOT_SHARE >= total)
-                      .select(F.col(key).alias("_hot_key")))
-    spread = F.xxhash64(salt_by) if salt_by else F.xxhash64(*[c for c in left.columns if c != key] or [key])
+    hot = F.col(key).isin(hot_keys(left, key))
+    rest = [c for c in left.columns if c != key]
+    spread = F.xxhash64(salt_by) if salt_by else F.xxhash64(*rest or [key])
     salt = F.pmod(spread, F.lit(SALTS)).cast("int")
-    marked = left.join(hot, F.col(key) == F.col("_hot_key"), "left")
-    salted = marked.withColumn(
-        "_salt", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), salt).otherwise(F.lit(0))).drop("_hot_key")
-    copies = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = (right.join(hot, F.col(key) == F.col("_hot_key"), "left")
-                .withColumn("_salt", F.explode(copies)).drop("_hot_key"))
+    salted = left.withColumn("_salt", F.when(F.col(key).isNull() | hot, salt).otherwise(F.lit(0)))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.where(F.col(key).isNotNull()).withColumn("_salt", F.explode(copies))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -138,7 +138,7 @@ def ranked(df: DataFrame, score: str, tie: str, groups: Sequence[str] = (), *, r
     cells = cells.withColumn("_start", F.min("_ahead").over(start)).drop("_n")
 
     keys = [*groups, "_vr", "_tr"]
-    joined = out.join(cells, keys, "left")
+    joined = out.join(cells.hint("shuffle_hash"), keys, "left")
     local = Window.partitionBy(*keys)
     by_score = _ordered([score], descending)
     if rank:
@@ -176,7 +176,7 @@ def running_sums(weights: DataFrame, value: str, sums: Sequence[str], groups: Se
         *[F.sum(f"_s_{c}").over(whole).alias(f"all_{c}") for c in sums],
         *[F.lead(f"_f_{c}").over(by_range).alias(f"_l_{c}") for c in ahead])
     keys = [*groups, "_vr"]
-    joined = out.join(cells, keys)
+    joined = out.join(cells.hint("shuffle_hash"), keys)
     local = Window.partitionBy(*keys).orderBy(*_ordered([value], descending))
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(

@@ -8,7 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import blank_tokens, ngrams, word_tokens
+from gleaner.functions.text import BLANK, blank_tokens, ngrams, word_tokens
 
 
 def english_stop_words() -> list[str]:
@@ -25,11 +25,20 @@ def top_counts(counted: DataFrame, term: str, groups: Sequence[str], n: int) ->
     return counted.withColumn("place", place).where(F.col("place") <= n)
 
 
+def _words(df: DataFrame, text: str, groups: Sequence[str]) -> DataFrame:
+    """One row per blank-separated word.
+
+    The outer form keeps Spark from testing the array for emptiness first, which
+    would split every text twice.
+    """
+    words = df.select(*groups, F.explode_outer(F.split(text, f"[{BLANK}]+")).alias("word"))
+    return words.where("word != ''")
+
+
 def word_counts(df: DataFrame, text: str, groups: Sequence[str], stop_words: Sequence[str]) -> DataFrame:
     """Counts of blank-separated words, as written, without stop words."""
-    words = df.select(*groups, F.explode(blank_tokens(F.col(text))).alias("word"))
-    return (words.where(~F.col("word").isin(list(stop_words)))
-            .groupBy(*groups, "word").agg(F.count("*").alias("n")))
+    words = _words(df, text, groups).where(~F.col("word").isin(list(stop_words)))
+    return words.groupBy(*groups, "word").agg(F.count("*").alias("n"))
 
 
 def top_words(df: DataFrame, text: str, groups: Sequence[str], stop_words: Sequence[str], n: int) -> DataFrame:
@@ -38,14 +47,14 @@ def top_words(df: DataFrame, text: str, groups: Sequence[str], stop_words: Seque
 
 def top_ngrams(df: DataFrame, text: str, groups: Sequence[str], size: int = 4, n: int = 10) -> DataFrame:
     """Most frequent runs of ``size`` lower-cased words of two or more characters."""
-    grams = df.select(*groups, F.explode(ngrams(word_tokens(F.col(text)), size)).alias("ngram"))
-    return top_counts(grams.groupBy(*groups, "ngram").agg(F.count("*").alias("n")), "ngram", groups, n)
+    grams = df.select(*groups, F.explode_outer(ngrams(word_tokens(F.col(text)), size)).alias("ngram"))
+    counted = grams.where("ngram is not null").groupBy(*groups, "ngram").agg(F.count("*").alias("n"))
+    return top_counts(counted, "ngram", groups, n)
 
 
 def word_length_counts(df: DataFrame, text: str, groups: Sequence[str] = ()) -> DataFrame:
     """Number of blank-separated words of each length."""
-    lengths = df.select(*groups, F.explode(F.transform(blank_tokens(F.col(text)), F.length)).alias("length"))
-    return lengths.groupBy(*groups, "length").agg(F.count("*").alias("n"))
+    return _words(df, text, groups).groupBy(*groups, F.length("word").alias("length")).agg(F.count("*").alias("n"))
 
 
 def longest_sequence(df: DataFrame, text: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -32,7 +32,7 @@ def seeded_position(df: DataFrame, id_: str, seed: Column | int, groups: Sequenc
     cells = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
     cells = cells.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy("_key", id_))
-    placed = keyed.join(cells, keys).withColumn(name, (F.col("_ahead") + local).cast("bigint"))
+    placed = keyed.join(cells.hint("shuffle_hash"), keys).withColumn(name, (F.col("_ahead") + local).cast("bigint"))
     return placed.select(*[c for c in df.columns if c != name], name)
 
 

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,9 +38,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A text table, spread over the cores where its files are few."""
+    keys = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+    return spread(table(spark, sf, name), *keys[name])
+
+
 def corpus(spark, sf) -> DataFrame:
     """Documents as abstracts: first line as title, quality as label, unlabelled ones as optional negatives."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = texts(spark, sf, "documents"), table(spark, sf, "labels")
     first_line = F.split_part("text", F.lit("\n"), F.lit(1))
     joined = docs.join(labels.select("doc_id", "quality"), "doc_id", "left")
     return joined.select(
@@ -54,7 +62,7 @@ def corpus(spark, sf) -> DataFrame:
 def fold_scores(spark, sf) -> DataFrame:
     """Documents with five fold scores; those without a usable title are not scored."""
     from gleaner.functions.text import scorable
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     first_line = F.split_part("text", F.lit("\n"), F.lit(1))
     title = F.when(F.col("doc_id") % 13 == 5, F.lit(" ")).otherwise(first_line)
     base = docs.select(F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("abstract"), "n_chars")

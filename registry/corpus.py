@@ -7,7 +7,7 @@ from gleaner.functions import text as X
 from gleaner.operators import columns as N
 from gleaner.operators import dedup as D
 from gleaner.operators import sampling as M
-from registry.base import SEED, corpus, query, table
+from registry.base import SEED, corpus, query, table, texts
 
 # SQL spelling of the word and blank classes used by the library.
 NOT_KEPT = r"[^\p{L}\p{N}_\s\p{Z}-]"
@@ -22,7 +22,7 @@ def title_sql(c: str) -> str:
 SELECT page_id, {title_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title_key,
        md5({title_sql('html')}) AS html_key FROM pages""")
 def normalized_titles(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages")
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     return pages.select("page_id", X.normalize_title(title).alias("title_key"),
                         F.md5(X.normalize_title(F.col("html"))).alias("html_key"))
@@ -34,7 +34,7 @@ SELECT page_id, trim(replace(replace(replace(lower(trim(raw)), 'https://doi.org/
   SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN ' https://doi.org/10.1/' || url WHEN 1 THEN 'HTTP://doi.org/10.1/' || url
                        WHEN 2 THEN 'doi: 10.1/' || url ELSE '10.1/' || url || '  ' END AS raw FROM pages)""")
 def normalized_identifiers(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages")
     number = F.col("page_id") % 4
     raw = (F.when(number == 0, F.concat(F.lit(" https://doi.org/10.1/"), "url"))
            .when(number == 1, F.concat(F.lit("HTTP://doi.org/10.1/"), "url"))

@@ -8,7 +8,7 @@ from gleaner.operators import linkage as J
 from gleaner.operators.ordering import ranked
 from gleaner.operators.scores import ranking_summary
 from gleaner.session import materialize
-from registry.base import CTES, corpus, predictions, query, table
+from registry.base import CTES, corpus, predictions, query, table, texts
 from registry.corpus import title_sql
 from registry.scoring import scored_records
 
@@ -31,7 +31,7 @@ def with_matched(select):
 
 
 def labeled_pages(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages")
     return pages.select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
                         F.when(F.col("url").contains("/en/"), "positive").otherwise("negative").alias("label"))
 

@@ -7,7 +7,7 @@ from gleaner.operators import agreement as A
 from gleaner.operators.scores import ensemble_models
 from gleaner.session import fresh_path
 from gleaner.sources import readers, sinks
-from registry.base import corpus, fold_metrics, predictions, query, table
+from registry.base import corpus, fold_metrics, predictions, query, table, texts
 from registry.folds import built, with_folds
 from registry.scoring import scored_records
 
@@ -37,7 +37,7 @@ SELECT md5(CASE WHEN doc_id % 10 = 3 THEN NULL ELSE nullif(trim(text, chr(32) ||
 def json_score_input(spark, sf):
     """Objects, bare strings, numbers and blank titles as JSON lines; every item keeps its row."""
     path = fresh_path(spark, "json")
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     line = F.split_part("text", F.lit("\n"), F.lit(1))
     kind = F.col("doc_id") % 10
     as_object = F.to_json(F.struct(F.col("doc_id").alias("n"), F.col("text").alias("Abstract_Text"), line.alias("Title")))
@@ -57,7 +57,7 @@ FROM documents""")
 def xml_articles(spark, sf):
     """Documents exported in the article form of a citation service, read back as optional negatives."""
     path = fresh_path(spark, "xml")
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     line = F.split_part("text", F.lit("\n"), F.lit(1))
     ids = F.array_compact(F.array(
         F.struct(F.lit("x").alias("_VALUE"), F.lit("pii").alias("_EIdType")),
@@ -92,7 +92,7 @@ FROM parts""")
 def fulltext_flattened(spark, sf):
     """Documents as nested sections of titles, paragraphs, list items and footnotes, flattened again."""
     path = fresh_path(spark, "fulltext")
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     lines = F.split("text", "\n", -1)
     contents = F.transform(F.slice(lines, 2, 1_000_000), lambda t, i: F.struct(
         F.when(i % 4 == 2, "fn").when(i % 4 == 3, "list-item").otherwise("p").alias("tag"), t.alias("text")))
