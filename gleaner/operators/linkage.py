@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.labels import error_type
 from gleaner.functions.text import match_key, normalize_title
+from gleaner.operators.columns import stacked
 from gleaner.operators.dedup import keep_first
 from gleaner.operators.joins import spread_join
 
@@ -87,13 +88,11 @@ def backfill_metadata(errors: DataFrame, sources: Sequence[tuple[str, DataFrame]
     """
     keyed = errors.withColumn("_key", normalize_title(F.col(title)))
     wanted = keyed.select("_key").where("_key is not null").distinct()
-    lookup = None
-    for priority, (name, table) in enumerate(sources):
-        slim = table.select(normalize_title(F.col(title)).alias("_key"), F.col(order).alias("_order"),
-                            "doi", "abstract").join(wanted, "_key", "left_semi")
-        first = keep_first(slim, ["_key"], ["_order"]).drop("_order")
-        first = first.withColumn("priority", F.lit(priority)).withColumn("source", F.lit(name))
-        lookup = first if lookup is None else lookup.unionByName(first)
+    slim = [table.select(normalize_title(F.col(title)).alias("_key"), F.col(order).alias("_order"), "doi", "abstract",
+                         F.lit(priority).alias("priority"), F.lit(name).alias("source"))
+            for priority, (name, table) in enumerate(sources)]
+    asked = stacked(slim).join(wanted, "_key", "left_semi")
+    lookup = keep_first(asked, ["_key", "priority"], ["_order"])
     hit = F.struct("doi", "abstract", "source")
     found = lookup.groupBy("_key").agg(
         F.min_by(hit, F.when(F.col("doi").isNotNull(), F.col("priority"))).alias("_hit"),

@@ -50,7 +50,9 @@ def score_summary(df: DataFrame, score: str, groups: Sequence[str] = (), *, popu
         F.avg(value).alias("mean"), std.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.count(value).alias("count"), *[F.count_if(level == b).alias(f"{b}_count") for b in ("high", "medium", "low")])
     cuts = quantiles(keyed, score, {"q25": 0.25, "median": 0.5, "q75": 0.75}, keys, splits=splits)
-    return plain.join(cuts, keys).drop("_whole")
+    # Both tables have one row per group; stacking them needs no join.
+    both = plain.unionByName(cuts, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys]).drop("_whole")
 
 
 def ranking_summary(df: DataFrame, score: str, rank: str, groups: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -59,14 +60,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def gathered(df: DataFrame, *folders: str) -> DataFrame:
+    """Rows of one output folder brought together before a partitioned write.
+
+    Without it every task opens a file in every folder. Adaptive execution splits
+    a folder that is too large for one task and merges small ones.
+    """
+    return df.hint("rebalance", *[F.col(f) for f in folders])
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The written files outlive lost executors, unlike cached blocks.
     """
     path = fresh_path(df.sparkSession, name)
-    writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        gathered(df, *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,16 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import gathered
 from gleaner.sources import schemas
 
 
 def write_folds(folds: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder per run, fold and split.
-
-    Rows are spread by identifier inside a cell, so a large split becomes many
-    files written in parallel and a small one few.
-    """
-    writer = folds.write.mode("overwrite").partitionBy("run", "fold", "split")
+    """One folder per run, fold and split; a large split becomes several files written in parallel."""
+    cells = ("run", "fold", "split")
+    writer = gathered(folds, *cells).write.mode("overwrite").partitionBy(*cells)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
@@ -62,7 +60,8 @@ def write_id_lists(df: DataFrame, path: str, id_: str, split: str = "split", lab
     named = F.when(F.col(label) == 1, "pos").when(F.col(label) == 0, "neg")
     lists = df.select(F.col(split).alias("split"), named.alias("label"),
                       F.col(id_).cast("bigint").cast("string").alias("value"))
-    lists.where("label is not null and value is not null").write.mode("overwrite").partitionBy("split", "label").text(path)
+    lists = gathered(lists.where("label is not null and value is not null"), "split", "label")
+    lists.write.mode("overwrite").partitionBy("split", "label").text(path)
 
 
 def stored_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:

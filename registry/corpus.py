@@ -44,7 +44,7 @@ def normalized_identifiers(spark, sf):
 
 @query("text_shapes", """
 SELECT id, (abstract IS NOT NULL AND trim(abstract) <> '') AND (title IS NOT NULL AND trim(title) <> '') AS valid,
-       coalesce(length(title), 0) + coalesce(length(abstract), 0) AS input_length,
+       (coalesce(length(title), 0) + coalesce(length(abstract), 0))::INT AS input_length,
        md5(coalesce('v' || title, 'n') || chr(31) || coalesce('v' || abstract, 'n')) AS signature,
        md5(replace(trim(abstract), chr(10), ' ')) AS one_line, md5(coalesce(title, '') || ' ' || abstract || ' ' || "Keywords") AS joined,
        CASE WHEN regexp_matches(trim(abstract), '[.?!…]["'')\\]]?$') THEN 'kept' ELSE 'closed' END AS ending

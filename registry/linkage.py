@@ -75,7 +75,7 @@ def top_rank_share(spark, sf):
 
 
 @query("best_and_worst_ranked", with_matched("""
-SELECT label, side, place, page_id, score_rank, title FROM (
+SELECT label, side, place::INT AS place, page_id, score_rank, title FROM (
   SELECT label, 'best' AS side, page_id, score_rank,
          CASE WHEN length(title_labeled) > 60 THEN substr(title_labeled, 1, 60) || '...' ELSE title_labeled END AS title,
          row_number() OVER (PARTITION BY label ORDER BY score_rank, page_id) AS place FROM matched UNION ALL
