@@ -156,14 +156,17 @@ def model_ranks_in_folds(spark, sf):
 
 
 @query("friedman_test", with_metrics("""
-SELECT added, k, n, round(stat, 6) AS statistic, round(exp(-stat / 2) * (1 + stat / 2), 9) AS p_value FROM (
+SELECT added, k, n, round(stat, 6) AS statistic, round(p, 9) AS p_value,
+       CASE WHEN p < 0.001 THEN 'highly significant' WHEN p < 0.01 THEN 'very significant' WHEN p < 0.05 THEN 'significant'
+            ELSE 'not significant' END AS verdict FROM (SELECT *, exp(-stat / 2) * (1 + stat / 2) AS p FROM (
   SELECT added, k, n, (12.0::DOUBLE / (n * k * (k + 1)) * squares - 3 * n * (k + 1)) / (1 - tied / (n * k * (k * k - 1))::DOUBLE) AS stat
   FROM (SELECT added, count(*) AS k, max(blocks) AS n, sum(s * s) AS squares, sum(tied) AS tied FROM (
     SELECT added, model, sum(rank_up) AS s, count(*) AS blocks, sum(ties * ties - 1) AS tied FROM ranks GROUP BY added, model)
-  GROUP BY added))""", RANKS))
+  GROUP BY added)))""", RANKS))
 def friedman_test(spark, sf):
     out = R.friedman(fold_metrics(spark, sf), ["run", "fold"], "model", "accuracy", ["added"])
-    return out.select("added", "k", "n", F.round("statistic", 6).alias("statistic"), F.round("p_value", 9).alias("p_value"))
+    return out.select("added", "k", "n", F.round("statistic", 6).alias("statistic"), F.round("p_value", 9).alias("p_value"),
+                      L.significance(F.col("p_value")).alias("verdict"))
 
 
 @query("average_ranks", with_metrics("""

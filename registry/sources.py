@@ -240,3 +240,37 @@ def screening_labels(spark, sf):
         F.when(F.col("toxic") == 1, " x ").otherwise("  ").alias("Comment: second"))
     out = A.screening_labels(sheet, ["Comment: first", "Comment: second", "Comment: absent"])
     return out.groupBy("screened_in").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
+
+
+@query("fold_prediction_scan", """
+SELECT fold, count(*) AS n, sum(label)::BIGINT AS positives, sum(prediction)::BIGINT AS called, round(sum(score), 6) AS score,
+       0::BIGINT AS unnamed FROM predictions GROUP BY fold""", "predictions")
+def fold_prediction_scan(spark, sf):
+    """Exported prediction files of one folder, with an index column, in one scan that keeps each row's file."""
+    path = fresh_path(spark, "test preds")
+    rows = predictions(spark, sf).select(F.col("id").alias("Unnamed: 0"), "label", "prediction", "score", "fold",
+                                         F.lit(None).cast("string").alias("title"))
+    rows.write.option("header", True).csv(path)
+    read = readers.read_fold_predictions(spark, f"{path}/*.csv")
+    return read.groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum("label").alias("positives"), F.sum("prediction").alias("called"),
+        F.round(F.sum("score"), 6).alias("score"), F.count_if(~F.col("source_file").startswith("part-")).alias("unnamed"))
+
+
+@query("rating_sheet_kappa", """
+SELECT criterion, agreements, total, round(CASE WHEN pe < 1 THEN (agreements / total::DOUBLE - pe) / (1 - pe) ELSE 1.0 END, 9) AS kappa FROM (
+  SELECT criterion, sum((a = b)::INT)::BIGINT AS agreements, count(*) AS total,
+         (sum(a) * sum(b) + sum(1 - a) * sum(1 - b)) / (count(*) * count(*))::DOUBLE AS pe FROM (
+    SELECT 'quality' AS criterion, quality AS a, 1 - toxic AS b FROM labels WHERE doc_id % 7 <> 0 UNION ALL
+    SELECT 'toxicity', toxic, (doc_id % 2)::INT FROM labels) GROUP BY criterion)""")
+def rating_sheet_kappa(spark, sf):
+    """Ratings exported as a sheet with two columns per criterion, read back in long form."""
+    path = fresh_path(spark, "sheet")
+    first = F.when(F.col("doc_id") % 7 != 0, F.col("quality").cast("string")).otherwise(" ")
+    table(spark, sf, "labels").select(
+        "doc_id", first.alias("quality a"), (1 - F.col("toxic")).alias("quality b"), F.col("toxic").alias("toxicity a"),
+        (F.col("doc_id") % 2).alias("toxicity b")).write.option("header", True).csv(path)
+    long = readers.rating_sheet(spark, path, ["quality", "toxicity"], ("a", "b"), "Abstract", start_column=1,
+                                header_rows=0, paper="doc_id")
+    pairs = A.rating_pairs(long, ["phase", "criterion", "paper"], ("a", "b"))
+    return A.rater_kappa(pairs, ["criterion"]).select("criterion", "agreements", "total", F.round("kappa", 9).alias("kappa"))

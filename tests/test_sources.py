@@ -182,6 +182,32 @@ def test_cross_validation_covers_every_record_once(spark):
     assert scored[one["id"]]["fold_scores"][1] == pytest.approx(one["score"])
 
 
+def test_baselines_and_tuning_share_the_loop(spark):
+    from gleaner.operators.folds import build_folds
+    rows = texts(spark, 60).withColumnRenamed("label", "labels")
+    folds = build_folds(rows, "id", "labels", 2, 1, 4)
+    learners = {**P.forest_grid([3], ["gini"], depth=3), "svm": P.linear_svm(iterations=3)}
+    held = P.baseline_predictions(rows, folds, "id", "text", 2, learners, max_features=50).collect()
+    assert sorted((r["model"], r["id"]) for r in held) == sorted((m, i) for m in learners for i in range(60))
+    assert {r["prediction"] for r in held} <= {0, 1}
+    tuned, _ = P.cross_validate(rows, folds, "id", "text", 2, fit=P.tuned_fit(2, 3, iterations=3), max_features=50)
+    assert sorted(r["id"] for r in tuned.collect()) == list(range(60))
+    assert len(P.forest_grid()) == 30
+
+
+def test_vocabulary_is_the_exact_top(spark):
+    from collections import Counter
+    rows = spark.createDataFrame([("b a b a c d",), ("a b a b e f",), ("g b a h b a",), ("",)], "text string")
+    rows = rows.withColumn("words", F.filter(F.split("text", " "), lambda w: w != ""))
+    counted = Counter()
+    for r in rows.collect():
+        counted.update(r["words"])
+        counted.update(" ".join(p) for p in zip(r["words"], r["words"][1:]))
+    for n in (1, 2, 3, 4, 5, 8, 50):
+        want = sorted(counted, key=lambda t: (-counted[t], t))[:n]
+        assert P.vocabulary(rows, n) == want
+
+
 def test_length_batches_keep_every_row(spark):
     df = spark.createDataFrame([(i, "t" * (i % 3), "a" * (i % 17)) for i in range(200)], "id long, title string, abstract string")
     out = P.length_batched(df, lambda t, a: [float(len(x) * 100 + len(y)) for x, y in zip(t, a)], "title", "abstract", "id", 7)
