@@ -26,7 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 4096
+MAX_RANGES = 8192
 
 
 def default_ranges(df: DataFrame) -> int:
@@ -108,6 +108,21 @@ def _ordered(names: Sequence[str], descending: bool) -> list[Column]:
     return [F.desc(n) if descending else F.asc(n) for n in names]
 
 
+def with_cells(df: DataFrame, score: str, tie: str, splits: Splits) -> DataFrame:
+    """Add the cell ``(_vr, _tr)`` of every row and the ``_share`` of its range.
+
+    A range of several quantiles holds one value and is cut by the tie column into
+    as many cells; unscored rows, range -1, are cut into all of them.
+    """
+    out = _range_number(df, F.coalesce(_plain(score), F.lit(0.0)), splits.values, "_vr")
+    out = _range_number(out, F.col(tie).cast("double"), splits.ties, "_tr")
+    scored = _plain(score).isNotNull()
+    share = F.when(scored, F.get(F.lit(np.array(splits.shares)), F.col("_vr"))).otherwise(F.lit(splits.ranges))
+    return (out.withColumn("_share", share)
+            .withColumn("_vr", F.when(scored, F.col("_vr")).otherwise(F.lit(-1)))
+            .withColumn("_tr", F.floor(F.col("_tr") * F.col("_share") / splits.ranges).cast("int")))
+
+
 def ranked(df: DataFrame, score: str, tie: str, groups: Sequence[str] = (), *, rank: str | None = None,
            position: str | None = None, descending: bool = True, ranges: int | None = None,
            splits: Splits | None = None) -> DataFrame:
@@ -120,16 +135,8 @@ def ranked(df: DataFrame, score: str, tie: str, groups: Sequence[str] = (), *, r
     """
     splits = splits or find_splits(df, score, tie, ranges)
     groups = list(groups)
-    out = _range_number(df, F.coalesce(_plain(score), F.lit(0.0)), splits.values, "_vr")
-    out = _range_number(out, F.col(tie).cast("double"), splits.ties, "_tr")
     scored = _plain(score).isNotNull()
-    shares = F.lit(np.array(splits.shares))
-    # A range of several quantiles holds one value; unscored rows spread likewise.
-    share = F.when(scored, F.get(shares, F.col("_vr"))).otherwise(F.lit(splits.ranges))
-    out = (out.withColumn("_share", share)
-           .withColumn("_vr", F.when(scored, F.col("_vr")).otherwise(F.lit(-1)))
-           .withColumn("_tr", F.floor(F.col("_tr") * F.col("_share") / splits.ranges).cast("int")))
-
+    out = with_cells(df, score, tie, splits)
     cells = out.where("_vr >= 0").groupBy(*groups, "_vr", "_tr").agg(F.count("*").alias("_n"))
     order = [*_ordered(["_vr"], descending), F.asc("_tr")]
     ahead = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -64,7 +64,7 @@ FROM (SELECT *, floor(o_totalprice / 1000) AS score FROM orders)""")
 def rank_orders_by_price(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus",
                                                F.floor(F.col("o_totalprice") / 1000).cast("double").alias("score"))
-    out = ranked(orders, "score", "o_orderkey", rank="score_rank", position="position")
+    out = materialize(ranked(orders, "score", "o_orderkey", rank="score_rank", position="position"), "ranked")
     out = ranked(out, "score", "o_orderkey", ["o_orderstatus"], rank="status_rank")
     return out.select("o_orderkey", "score_rank", "position", "status_rank")
 

@@ -52,6 +52,19 @@ def test_a_hot_score_is_cut_by_the_tie_column(spark):
     assert splits.values[splits.shares.index(hot) - 1] == 0.5
 
 
+@pytest.mark.parametrize("hot_ids", ["F.col('id') % 3 == 0", "F.col('id') < 20000"])
+def test_no_cell_holds_much_of_a_skewed_table(spark, hot_ids):
+    """A third of the rows share one score and many have none, spread or in one stretch of identifiers."""
+    n, ranges = 60000, 60
+    score = F.when(eval(hot_ids), 0.5).when(F.col("id") % 5 != 0, F.xxhash64("id") / F.lit(2.0 ** 64))
+    df = spark.range(n).withColumn("score", score)
+    cells = O.with_cells(df, "score", "id", O.find_splits(df, "score", "id", ranges)).groupBy("_vr", "_tr").count()
+    assert cells.agg(F.max("count")).first()[0] <= 4 * n / ranges
+    out = O.ranked(df, "score", "id", rank="r", position="p", ranges=ranges)
+    check = out.where("score = 0.5").agg(F.min("r"), F.max("r"), F.countDistinct("p"), F.max("p") - F.min("p")).first()
+    assert check[0] == check[1] and check[2] == 20000 and check[3] == 19999
+
+
 def test_empty_and_unscored_tables(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id long, score double")
     assert [r["r"] for r in O.ranked(df, "score", "id", rank="r").collect()] == [None, None]
