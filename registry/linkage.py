@@ -168,6 +168,7 @@ def with_filled(select):
 
 def filled(spark, sf):
     c = corpus(spark, sf).withColumn("abstract", F.when(F.col("id") % 3 != 0, F.md5("abstract")))
+    c = materialize(c.select("id", "title", "doi", "labels", "abstract"), "sources")
     sources = [(name, c.where(F.col("labels") == label)) for name, label in
                (("openalex", -1), ("positives", 1), ("negatives", 0))]
     return J.backfill_metadata(J.find_errors(titled_predictions(spark, sf)), sources, "id")

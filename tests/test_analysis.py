@@ -14,7 +14,7 @@ from gleaner.operators import linkage as J
 from gleaner.operators import profile as P
 from gleaner.operators import ranktests as R
 from gleaner.operators import scores as S
-from gleaner.operators.joins import spread_join
+from gleaner.operators.joins import hot_keys, spread_join
 
 
 # --- ensembles ---------------------------------------------------------------
@@ -87,9 +87,12 @@ def test_spread_join_equals_plain_join(spark, how):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None))
                                     .otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("key"))
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 1500, 2)], "key string, v int")
-    got = spread_join(left, right, "key", how)
     want = left.join(right, "key", how)
-    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    rows = sorted(map(str, want.collect()))
+    assert hot_keys(left, "key", sample=1.0, enough=100) == ["hot"]
+    for hot in (None, ["hot"], ["hot", "k2", "absent"]):
+        got = spread_join(left, right, "key", how, hot=hot)
+        assert sorted(map(str, got.select(want.columns).collect())) == rows
 
 
 def test_null_keys_never_match(spark):
