@@ -33,13 +33,17 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    A temporary folder is used only where the session names none, which is the
-    case in local tests.
+    A temporary folder is used only where the session names none and driver and
+    executors are one process, as in tests. Anywhere else an unnamed folder is an
+    error: executors would write to their own disks.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share (master is {master})")
         named = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
