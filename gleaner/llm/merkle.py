@@ -107,7 +107,8 @@ def edited_fingerprints(docs: DataFrame, rows_per_bucket: int = 500, most_bucket
         F.lag("bucket").over(every), F.max("bucket").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("bucket"))
     first = first.withColumnRenamed("bucket", "to").join(ends, "to").drop("to")
 
-    marked = with_fingerprint(docs, "text", "fingerprint")
+    # Fingerprints are made behind the shuffle, so that only texts move.
+    marked = with_fingerprint(docs.repartition("bucket"), "text", "fingerprint")
     marked = marked.withColumn("after", F.lead(F.struct("text", "fingerprint")).over(order)).join(first, "bucket", "left")
     following = F.coalesce("after", F.struct(F.col("first_text").alias("text"), F.col("first_fp").alias("fingerprint")))
     marked = marked.select("doc_id", "text", "fingerprint", following.alias("next"), F.length("text").cast("long").alias("n_chars"))
