@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import merkle, mixing
-from gleaner.llm.common import table
+from gleaner.llm import bm25_wand, merkle, mixing, quality_mil
+from gleaner.llm.common import fold_of, ship, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,13 +16,25 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf: fn(ship(spark), sf)
         if sql:
             ORACLES[name] = sql
         return fn
     return add
 
 
+def rated(scored, cut):
+    """The contract's columns of a classifier query."""
+    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+@query("op1_quality_attention")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", text_or_empty().alias("text"))
+    model = quality_mil.fit(docs, table(spark, sf, "labels"))
+    return rated(quality_mil.with_quality(docs, model), 0.3)
+
+
 @query("op3_source_mix")
 def op3(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents"))
@@ -32,3 +44,9 @@ def op3(spark, sf):
 @query("op4_merkle_fingerprints")
 def op4(spark, sf):
     return merkle.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query("op10_benchmark_bm25")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bm25_wand.with_contamination(docs, table(spark, sf, "benchmark")).drop("text")
