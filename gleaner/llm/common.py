@@ -14,8 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.session import materialize
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -100,3 +105,64 @@ def cell_offsets(cells: DataFrame, group: list[str], cell: str, value: str, name
     high = high.withColumn("__base", F.coalesce(F.sum("__v").over(before(group, "__hi")), F.lit(0))).drop("__v")
     fine = fine.withColumn("__in", F.coalesce(F.sum("__v").over(before([*group, "__hi"], cell)), F.lit(0)))
     return fine.join(high, [*group, "__hi"]).select(*group, cell, (F.col("__base") + F.col("__in")).alias(name))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled documents outside the held-out fold, by a hash of the identifier: doc_id, text, label.
+
+    Equal identifiers in ``labels`` count once, with the larger label; null labels and identifiers are left out.
+    """
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 0))
+    marked = marked.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def word_spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document numbers of all words; texts are parted by a blank in ``buffer``."""
+    solid = ~SPACE[buffer]
+    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def word_codes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit code per word from all its bytes."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = ends - starts
+    total = int(lengths.sum())
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    inside = np.arange(total) - np.repeat(first, lengths)
+    at = inside + np.repeat(starts, lengths)
+    mixed = (buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[inside % 64]
+    codes = np.add.reduceat(mixed, first) ^ (lengths.astype(np.uint64) << np.uint64(40))
+    codes ^= codes >> np.uint64(29)
+    return codes * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """Least vertex of each connected component: (vertex, component) for every vertex of ``edges`` (a, b).
+
+    Large-star and small-star passes, each a grouped minimum and a join, written to the shared folder;
+    neither links nor components come to the driver, only a count and a checksum per pass.
+    """
+    spark = edges.sparkSession
+    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("low", "a").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        joined = large.join(low, "a")
+        small = joined.select("a", F.col("low").alias("b")).unionByName(
+            joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct()
+        edges = materialize(small, "links")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()) if state[0] else spark.createDataFrame(
+        [], "vertex long, component long")

@@ -14,15 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import column, fold_of, raw_texts, slices, text_or_empty
+from gleaner.llm.common import SPACE, column, labelled_sample, raw_texts, slices, word_codes, word_spans
 from gleaner.session import materialize
 
 PASSAGE_WORDS, BINS = 64, 32
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[32, *range(9, 14)]] = True
 
 
 def _classes() -> np.ndarray:
@@ -50,30 +47,6 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 N_CLASSES = 24
 WIDTH = N_CLASSES + 6 + BINS
-POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
-
-
-def word_spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document numbers of all words; texts are parted by a blank in ``buffer``."""
-    solid = ~SPACE[buffer]
-    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
-
-def word_codes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit code per word from all its bytes."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inside = np.arange(total) - np.repeat(first, lengths)
-    at = inside + np.repeat(starts, lengths)
-    mixed = (buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[inside % 64]
-    codes = np.add.reduceat(mixed, first) ^ (lengths.astype(np.uint64) << np.uint64(40))
-    codes ^= codes >> np.uint64(29)
-    return codes * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def encode(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,17 +164,6 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 2
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold, by a hash of the identifier: doc_id, text, label.
-
-    Equal identifiers in ``labels`` count once, with the larger label; null labels and identifiers are left out.
-    """
-    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 0))
-    marked = marked.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 6000, most_passages: int = 400) -> Model:
     """Train on at most ``rows`` labelled documents of at most ``most_passages`` passages each.
 

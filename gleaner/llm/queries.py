@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bm25_wand, merkle, mixing, quality_mil
+from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, quality_mil
 from gleaner.llm.common import fold_of, ship, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op4(spark, sf):
     return merkle.edited_fingerprints(table(spark, sf, "documents"))
 
 
+@query("op9_order_minhash")
+def op9(spark, sf):
+    return order_minhash.near_classes(table(spark, sf, "documents"))
+
+
 @query("op10_benchmark_bm25")
 def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
