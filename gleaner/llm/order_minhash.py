@@ -214,3 +214,10 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     least_id = told.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min(
         F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"].alias("keeper"))
     return told.join(least_id, "component").select("row", "doc_id", "class_id", (F.col("row") == F.col("keeper")).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """One document of each class with all its columns: the first in the table's order."""
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "omh-input")
+    dropped = _classes(numbered.select(F.col("__row").alias("doc_id"), "text"), least).where("NOT kept").select(F.col("doc_id").alias("__row"))
+    return numbered.join(dropped, "__row", "left_anti").drop("__row")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, quality_mil
+import corpus_pipeline
+from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, quality_mil, toxic_crf
 from gleaner.llm.common import fold_of, ship, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,12 @@ def op1(spark, sf):
     return rated(quality_mil.with_quality(docs, model), 0.3)
 
 
+@query("op2_feistel_pseudonyms")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pii_feistel.pseudonymised(docs, corpus_pipeline.PII_KEY, count="n_values")
+
+
 @query("op3_source_mix")
 def op3(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents"))
@@ -46,6 +53,12 @@ def op4(spark, sf):
     return merkle.edited_fingerprints(table(spark, sf, "documents"))
 
 
+@query("op7_toxic_spans")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", text_or_empty().alias("text"))
+    return rated(toxic_crf.with_toxicity(docs, toxic_crf.fit(docs, table(spark, sf, "labels"))), 0.5)
+
+
 @query("op9_order_minhash")
 def op9(spark, sf):
     return order_minhash.near_classes(table(spark, sf, "documents"))
@@ -55,3 +68,8 @@ def op9(spark, sf):
 def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return bm25_wand.with_contamination(docs, table(spark, sf, "benchmark")).drop("text")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
