@@ -166,3 +166,21 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()) if state[0] else spark.createDataFrame(
         [], "vertex long, component long")
+
+
+def slice_numbers() -> Iterator[int]:
+    """Numbers for the slices of this task, which no other task gives."""
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << 32
+    while True:
+        yield base
+        base += 1
+
+
+def answered(requests: DataFrame, answer, schema: str) -> DataFrame:
+    """Answers of every bucket to its requests: ``answer`` takes a bucket's rows, in order of slices, as a dict of lists."""
+    def one(rows: pa.Table) -> pa.Table:
+        return answer(rows.sort_by("slice").to_pydict())
+
+    return requests.groupBy("bucket").applyInArrow(one, schema)

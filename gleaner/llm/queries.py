@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, quality_mil, toxic_crf
+from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, pitman_yor, quality_mil, toxic_crf
 from gleaner.llm.common import fold_of, ship, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op4(spark, sf):
     return merkle.edited_fingerprints(table(spark, sf, "documents"))
 
 
+@query("op5_pitman_yor")
+def op5(spark, sf):
+    return pitman_yor.scored(table(spark, sf, "documents"))
+
+
 @query("op7_toxic_spans")
 def op7(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", text_or_empty().alias("text"))
