@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, pitman_yor, quality_mil, toxic_crf
+from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, pitman_yor, quality_mil, suffix_dedup, toxic_crf
 from gleaner.llm.common import fold_of, ship, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op7(spark, sf):
     return rated(toxic_crf.with_toxicity(docs, toxic_crf.fit(docs, table(spark, sf, "labels"))), 0.5)
 
 
+@query("op8_suffix_repeats")
+def op8(spark, sf):
+    cut = suffix_dedup.without_repeats(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_order_minhash")
 def op9(spark, sf):
     return order_minhash.near_classes(table(spark, sf, "documents"))
