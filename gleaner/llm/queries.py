@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, pitman_yor, quality_mil, suffix_dedup, toxic_crf
+from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, pitman_yor, quality_mil, suffix_dedup, tool_calls, toxic_crf
 from gleaner.llm.common import fold_of, ship, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op5(spark, sf):
     return pitman_yor.scored(table(spark, sf, "documents"))
 
 
+@query("op6_tool_calls")
+def op6(spark, sf):
+    return tool_calls.linked(table(spark, sf, "conversations"))
+
+
 @query("op7_toxic_spans")
 def op7(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", text_or_empty().alias("text"))
