@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from gleaner.llm.common import answered, column, raw_texts, slice_numbers, slices, text_or_empty
@@ -93,9 +95,18 @@ def _asked(prints: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     return distinct, again, np.searchsorted(bucket, np.arange(buckets + 1)), place
 
 
+def _packed(prints: np.ndarray) -> bytes:
+    """Rising prints as steps, byte place by byte place, so that the empty high bytes compress."""
+    return np.ascontiguousarray(np.diff(prints, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _questions(mine: int, prints: np.ndarray, buckets: int) -> list[tuple]:
     distinct, again, cuts, _ = _asked(prints, buckets)
-    return [(mine, b, distinct[cuts[b]:cuts[b + 1]].tobytes(), np.packbits(again[cuts[b]:cuts[b + 1]]).tobytes())
+    return [(mine, b, _packed(distinct[cuts[b]:cuts[b + 1]]), np.packbits(again[cuts[b]:cuts[b + 1]]).tobytes())
             for b in range(buckets) if cuts[b] < cuts[b + 1]]
 
 
@@ -104,7 +115,7 @@ ASK = "slice long, bucket int, prints binary, again binary"
 
 def _repeated(rows: dict) -> pa.Table:
     """Per question: one bit whether the print is met anywhere else, one whether this slice is the first to ask."""
-    held = [np.frombuffer(p, dtype=np.uint64) for p in rows["prints"]]
+    held = [_unpacked(p) for p in rows["prints"]]
     whole = np.concatenate(held)
     order = np.argsort(whole, kind="stable")
     ranked = whole[order]
@@ -171,10 +182,10 @@ def _sliced(docs: DataFrame, buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
                  pa.array([column(batch, "doc_id").to_pylist()] + [None] * rest, pa.list_(pa.int64())),
-                 pa.array([raws] + [None] * rest, pa.list_(pa.binary()))],
-                names=["kind", "slice", "bucket", "prints", "again", "ids", "texts"])
+                 pa.array([zstandard.compress(b"".join(raws))] + [None] * rest, pa.binary()), pa.array([texts.sizes.tolist()] + [None] * rest, pa.list_(pa.int64()))],
+                names=["kind", "slice", "bucket", "prints", "again", "ids", "texts", "sizes"])
 
-    schema = "kind int, slice long, bucket int, prints binary, again binary, ids array<long>, texts array<binary>"
+    schema = "kind int, slice long, bucket int, prints binary, again binary, ids array<long>, texts binary, sizes array<long>"
     path = fresh_path(docs.sparkSession, "suffix-slices")
     docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
@@ -193,11 +204,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # Windows and digests go through buckets of their own kind in one pass.
     first = held.where("kind > 0").selectExpr("slice", f"bucket + (kind - 1) * {buckets} AS bucket", "prints", "again")
     first = materialize(answered(first, _repeated, reply), "suffix-cover")
-    texts = held.where("kind = 0").select("slice", "ids", "texts")
+    texts = held.where("kind = 0").select("slice", "ids", "texts", "sizes")
 
     def judged(left: pa.Table, right: pa.Table):
         """Texts of the slice, which send suffixes, which are equal to another, and the suffixes to ask for."""
-        raws = left.column("texts")[0].as_py()
+        body, sizes = zstandard.decompress(left.column("texts")[0].as_py()), left.column("sizes")[0].as_py()
+        raws = [body[end - n:end] for n, end in zip(sizes, accumulate(sizes), strict=True)]
         digests = _digests(raws)
         lead = _leading(digests)
         whole = Texts(raws)
