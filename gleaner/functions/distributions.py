@@ -44,23 +44,21 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def chi_square_tail(x: Column, df: Column) -> Column:
-    """P(X >= x) for a whole number of degrees of freedom."""
+    """P(X >= x) for a whole number of degrees of freedom; terms are summed in log space, so none overflows."""
     h = x / 2
-    even = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.floor(df / 2).cast("int"), F.lit(1))),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
-        lambda acc, i: F.struct((acc.term * h / i).alias("term"),
-                                (acc.total + acc.term).alias("total")),
-        lambda acc: acc.total)
-    odd = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.floor((df - 1) / 2).cast("int"), F.lit(1))),
-        F.struct((F.sqrt(h) * (2 / SQRT_PI)).alias("term"), F.lit(0.0).alias("total")),
-        lambda acc, i: F.struct((acc.term * h / (i + 0.5)).alias("term"),
-                                (acc.total + acc.term).alias("total")),
-        lambda acc: acc.total)
-    decay = F.exp(-h)
-    odd_part = F.when(df >= 3, decay * odd).otherwise(F.lit(0.0))
-    return F.when(x <= 0, F.lit(1.0)).when(df % 2 == 0, decay * even).otherwise(erfc(F.sqrt(h)) + odd_part)
+
+    def series(first: Column, last: Column, shift: float) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(last.cast("int"), F.lit(1))),
+            F.struct(first.alias("term"), F.lit(0.0).alias("total")),
+            lambda acc, i: F.struct((acc.term + F.log(h / (i + shift))).alias("term"),
+                                    (acc.total + F.exp(acc.term - h)).alias("total")),
+            lambda acc: acc.total)
+
+    even = series(F.lit(0.0), F.floor(df / 2), 0.0)
+    odd = series(F.log(F.sqrt(h) * (2 / SQRT_PI)), F.floor((df - 1) / 2), 0.5)
+    odd_part = F.when(df >= 3, odd).otherwise(F.lit(0.0))
+    return F.when(x <= 0, F.lit(1.0)).when(df % 2 == 0, even).otherwise(erfc(F.sqrt(h)) + odd_part)
 
 
 def _phi(z: float) -> float:

@@ -11,8 +11,6 @@ from gleaner.functions.distributions import (chi_square_tail, normal_two_sided,
 from gleaner.operators.confusion import ratio
 from gleaner.operators.ordering import Splits, find_splits, present, running_sums
 
-MOST_MODELS = 100
-
 
 def block_ranks(df: DataFrame, block: Sequence[str], treatment: str, value: str,
                 descending: bool = True) -> DataFrame:
@@ -64,16 +62,10 @@ def nemenyi(df: DataFrame, block: Sequence[str], treatment: str, value: str, alp
     """
     ranks = average_ranks(df, block, treatment, value)
     k = ranks.count()
-    if k > MOST_MODELS:
-        raise ValueError(f"{k} treatments; a pairwise table is limited to {MOST_MODELS}")
     critical = range_critical(k, alpha) if k >= 2 else float("nan")
-    # At most MOST_MODELS entries in one array, paired by their place in it.
-    held = ranks.agg(F.array_sort(F.collect_list(F.struct(F.col(treatment).alias("m"), "avg_rank", "blocks"))).alias("r"))
-    paired = F.flatten(F.transform("r", lambda a, i: F.transform(
-        F.filter("r", lambda b, j: j > i), lambda b: F.struct(
-            a["m"].alias("model_a"), b["m"].alias("model_b"), a["avg_rank"].alias("rank_a"),
-            b["avg_rank"].alias("rank_b"), a["blocks"].alias("blocks")))))
-    pairs = held.select(F.inline(paired))
+    left = ranks.select(F.col(treatment).alias("model_a"), F.col("avg_rank").alias("rank_a"), "blocks")
+    right = ranks.select(F.col(treatment).alias("model_b"), F.col("avg_rank").alias("rank_b"))
+    pairs = left.join(right, F.col("model_a") < F.col("model_b"))
     spread = F.sqrt(k * (k + 1) / (F.lit(6.0) * F.col("blocks")))
     difference = F.abs(F.col("rank_a") - F.col("rank_b"))
     distance = F.lit(critical / 2 ** 0.5) * spread

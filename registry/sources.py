@@ -94,7 +94,7 @@ def fulltext_flattened(spark, sf):
     path = fresh_path(spark, "fulltext")
     docs = texts(spark, sf, "documents")
     lines = F.split("text", "\n", -1)
-    contents = F.transform(F.slice(lines, 2, 1_000_000), lambda t, i: F.struct(
+    contents = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda t, i: F.struct(
         F.when(i % 4 == 2, "fn").when(i % 4 == 3, "list-item").otherwise("p").alias("tag"), t.alias("text")))
     body = F.struct(F.when(F.col("doc_id") % 3 == 0, " Box ").otherwise("Part 1").alias("label"),
                     F.lit(None).cast("string").alias("caption"), F.get(lines, F.lit(0)).alias("title"), contents.alias("contents"))

@@ -201,6 +201,12 @@ def test_friedman_published_example(spark):
     assert r["p_value"] == pytest.approx(0.0018166, abs=1e-6)
 
 
+def test_nemenyi_has_no_limit_on_models(spark):
+    df = spark.range(3).withColumnRenamed("id", "fold").crossJoin(spark.range(120).withColumnRenamed("id", "model"))
+    df = df.withColumn("v", (F.col("model") * 7 + F.col("fold")) % 113)
+    assert R.nemenyi(df, ["fold"], "model", "v").count() == 120 * 119 // 2
+
+
 def test_nemenyi_pairs(spark):
     df = spark.createDataFrame([(b, f"m{m}", float(-m)) for b in range(10) for m in range(3)], "fold int, model string, v double")
     out = {(r["model_a"], r["model_b"]): r for r in R.nemenyi(df, ["fold"], "model", "v").collect()}

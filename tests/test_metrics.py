@@ -159,3 +159,9 @@ def test_tail_probabilities(value):
     # Published studentized ranges at .05 with infinite degrees of freedom.
     for k, q in {2: 2.772, 3: 3.314, 5: 3.858, 10: 4.474, 20: 5.012}.items():
         assert D.range_critical(k) == pytest.approx(q, abs=2e-3)
+
+
+def test_chi_square_tail_of_many_degrees_is_a_number(value):
+    tail = value(D.chi_square_tail(F.lit(2000.0), F.lit(700)))
+    assert 0 <= tail < 1e-100
+    assert value(D.chi_square_tail(F.lit(700.0), F.lit(700))) == pytest.approx(0.4929, abs=1e-3)

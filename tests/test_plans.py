@@ -16,6 +16,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fold_scoring_keeps_rows_without_text(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+
+    rows = [(1, "blood test cell", 1), (2, "stone river wall", 0), (3, "blood cell", 1), (4, None, 0), (5, "  ", 0)]
+    frame = spark.createDataFrame(rows, "id int, text string, label int")
+    hashed = HashingTF(inputCol="terms", outputCol="features", numFeatures=64)
+    terms = models.add_terms(models.add_words(frame, "text"))
+    fitted = LogisticRegression(maxIter=3).fit(hashed.transform(terms))
+    fold = PipelineModel(stages=[hashed, fitted])
+    valid = frame.withColumn("valid", F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    scored = {r.id: r for r in models.score_with_folds(valid, [fold, fold], "text", valid="valid").collect()}
+    assert sorted(scored) == [1, 2, 3, 4, 5]
+    assert scored[4].result is None and scored[5].result is None and scored[1].result is not None
+
+
 def test_keys_are_limited_before_the_shuffle(spark):
     df = spark.read.parquet(DOCS)
     for out in (D.keep_first(df, ["text"], ["doc_id"]), P.top_ngrams(df, "text", ["lang"])):
