@@ -6,6 +6,12 @@ texts' several least labels and keeps them in text order: two texts share a sket
 those labels agree and stand in the same order, which follows edit similarity rather
 than mere overlap. Texts that share any sketch are candidates; they are verified by a
 banded alignment of their labelled shingles.
+
+Every member of a sketch is compared with its least member. Where that leaves a sketch's
+members in several components, comparing all of them would grow with the square of a
+common passage's documents; there, texts meet on their rarest labels instead. Texts as
+alike as ``least`` share one of the rarest labels that are beyond the share they must have
+in common, so no link is lost, and a passage that many texts hold brings none together.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ SHINGLE = 5
 LONG, BRIEF, SHORT = (32, 5), (24, 3), 80
 ODD = np.random.default_rng(20).integers(1, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PIECE = 1 << 14
+#: Bits of a label that name its bin in the table of frequencies, which is bounded by them.
+BIN_BITS = 20
+#: Members of a label that all its members meet before those still apart meet each other.
+FIRST = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -164,6 +174,69 @@ def _verify(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(check, "a long, b long")
 
 
+def _levels(rows: DataFrame) -> np.ndarray:
+    """Magnitude (log2) of the number of labels of ``rows`` in each bin; it orders labels and decides nothing else."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << BIN_BITS, dtype=np.int64)
+        for batch in slices(batches):
+            labels, _ = labelled_shingles(raw_texts(batch))
+            held += np.bincount(_bins(np.concatenate(labels)), minlength=len(held))
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], names=["bin", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.zeros(1 << BIN_BITS, dtype=np.uint8)
+    out[counted["bin"].to_numpy()] = np.log2(np.maximum(counted["n"].to_numpy(), 1)).astype(np.uint8)
+    return out
+
+
+def _bins(labels: np.ndarray) -> np.ndarray:
+    return (labels >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def rarest(labels: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
+    """The rarest labels of a text, as many as leave fewer than any text alike by ``least`` has in common with it."""
+    kept = len(labels) - int(np.ceil(least * len(labels) - 1e-9)) + 1
+    return labels[np.lexsort((labels, levels[_bins(labels)]))[:kept]]
+
+
+def _of_mixed_labels(listed: DataFrame) -> DataFrame:
+    """Rows of ``listed`` whose label occurs in several components."""
+    mixed = listed.groupBy("label").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("label")
+    return listed.join(mixed, "label")
+
+
+def _alike(one: DataFrame, other: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of rows from different components that share a label and can be as alike as ``least``.
+
+    After the first label that two texts share, both must have enough labels left for that; texts of
+    too different lengths never have.
+    """
+    left, right = (df.select("label", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"),
+                             (F.col("n") - F.col("at")).alias(f"left_{x}")) for df, x in ((one, "a"), (other, "b")))
+    either = F.col("a") < F.col("b") if one is other else F.col("a") != F.col("b")
+    pairs = left.join(right, "label").where(either & (F.col("ca") != F.col("cb")) & (
+        F.least("left_a", "left_b") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shared_rarest(apart: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """The rarest labels (row, n, component, at, label) of the rows ``apart`` that occur in several components."""
+    held = rows.select("row", "text").join(apart, "row")
+    levels = rows.sparkSession.sparkContext.broadcast(_levels(held))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            labels, _ = labelled_shingles(raw_texts(batch))
+            found = [rarest(x, levels.value, least).view(np.int64) for x in labels]
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "n"), column(batch, "component"),
+                                              pa.array(found, type=pa.list_(pa.int64()))], names=["row", "n", "component", "labels"])
+
+    listed = held.mapInArrow(prefixes, "row long, n long, component long, labels array<long>")
+    listed = materialize(listed.select("row", "n", "component", F.posexplode("labels").alias("at", "label")), "omh-rarest")
+    return materialize(_of_mixed_labels(listed), "omh-shared")
+
+
 def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id, class_id (least identifier of its class), kept (true for one row of each class).
 
@@ -192,21 +265,24 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     linked = materialize(_verify(stars, rows, least), "omh-links")
     component = materialize(connected(linked), "omh-components")
 
-    # Members of one sketch left in different components: compare them all, so that no link is lost.
+    # Members of a sketch left in different components meet again on their rarest labels, so that no link is lost.
     placed = members.join(component.withColumnRenamed("vertex", "row"), "row", "left").select(
         "key", "row", "n", F.coalesce("component", "row").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    apart = materialize(placed.join(mixed, "key"), "omh-apart")
-    other = apart.select("key", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = apart.select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(other, "key")
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                        & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    apart = materialize(placed.join(mixed, "key", "left_semi").select("row", "n", "component").distinct(), "omh-apart")
+    shared = _shared_rarest(apart, rows, least)
+    # First with a few members of each label, others from label to label; what they link need not meet again.
+    heads = shared.groupBy("label").agg(F.array_distinct(F.array(*[F.min_by(
+        F.struct("row", "n", "component", "at"), F.xxhash64(F.lit(seed), "label", "row")) for seed in range(FIRST)])).alias("heads"))
+    heads = materialize(_alike(shared, heads.select("label", F.inline("heads")), least).join(stars, ["a", "b"], "left_anti"), "omh-heads")
+    linked = materialize(linked.unionByName(_verify(heads, rows, least)), "omh-links")
+    component = materialize(connected(linked), "omh-components")
+    shared = shared.drop("component").join(component.withColumnRenamed("vertex", "row"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row"))
+    shared = materialize(_of_mixed_labels(shared), "omh-shared")
+    pairs = materialize(_alike(shared, shared, least).join(stars.unionByName(heads), ["a", "b"], "left_anti"), "omh-pairs")
     more = materialize(_verify(pairs, rows, least), "omh-more")
-    if more.isEmpty():
-        final = component
-    else:
-        final = materialize(connected(linked.unionByName(more)), "omh-final")
+    final = component if more.isEmpty() else materialize(connected(linked.unionByName(more)), "omh-final")
     # Component of each row, then its least identifier.
     told = rows.select("row", "doc_id").join(copies.select("row", "first"), "row", "left")
     told = told.withColumn("first", F.coalesce("first", "row")).join(final.withColumnRenamed("vertex", "first"), "first", "left")

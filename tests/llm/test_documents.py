@@ -91,6 +91,45 @@ def test_one_document_of_each_class_stays(docs):
     assert sum(i in (3, 4) for i in kept) + kept.count(9) <= 3 and {1, 2, 5, 6, 7, 8}.issubset(kept) and None in kept
 
 
+def test_near_classes_match_brute_force(spark):
+    """Copies of copies, and unrelated texts around one common passage, which must not be linked by it."""
+    ship(spark)
+    common = _text(40, "common")
+    rows = [(i, f"{common} {_text(25, i)}") for i in range(60)] + [(100 + i, _text(70, i // 4)) for i in range(40)]
+    for i in range(100, 140):  # a chain of edits within each four
+        words = rows[i - 40][1].split()
+        for k in range(i % 4):
+            words[5 + 20 * k] = f"edit{k}"
+        rows[i - 40] = (i, " ".join(words))
+    rows += [(200, None), (201, ""), (202, rows[0][1]), (203, rows[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in order_minhash.near_classes(frame).collect()}
+    labels, _ = order_minhash.labelled_shingles([(t or "").encode() for _, t in rows])
+    owner = {i: i for i, _ in rows}
+
+    def top(i):
+        while owner[i] != i:
+            i = owner[i]
+        return i
+
+    for x, (i, _) in enumerate(rows):
+        for y, (j, _) in enumerate(rows[:x]):
+            if order_minhash.alignment_similarity(labels[x], labels[y], 0.8):
+                a, b = sorted((top(i), top(j)))
+                owner[b] = a
+    assert found == {i: top(i) for i, _ in rows}
+
+
+def test_rarest_labels_of_alike_texts_meet():
+    rng = np.random.default_rng(5)
+    levels = rng.integers(0, 9, 1 << order_minhash.BIN_BITS).astype(np.uint8)
+    for n in (1, 2, 5, 40, 333):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        for cut in range(int(0.2 * n) + 1):
+            b = np.delete(a, rng.choice(n, cut, replace=False))
+            assert np.intersect1d(order_minhash.rarest(a, levels, 0.8), order_minhash.rarest(b, levels, 0.8)).size
+
+
 def test_pseudonyms_keep_formats_and_links(spark):
     text = ("+1 (017) 555-7713, a.b34@mail7.example.com 4785380592391139 4785-3805-9239-1139 9807915762804490 161.17.88.162 300.1.1.1 "
             "2024-02-29 29.02.2024 2024-02-30 123-45-6789 000-45-6789 GB82 WEST 1234 5698 7654 32")
