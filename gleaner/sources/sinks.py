@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import gathered
+from gleaner.session import gathered, materialize
 from gleaner.sources import schemas
 
 
@@ -82,6 +82,15 @@ def new_records(arrivals: DataFrame, stored: DataFrame | None, id_: str, overwri
 
 
 def ingest(arrivals: DataFrame, path: str, id_: str, overwrite: bool = False) -> None:
-    """Append the new records of a batch to the stored table."""
+    """Store the new records of a batch; with ``overwrite`` they replace stored ones of the same identifier.
+
+    Replacing rewrites the table from a copy in the shared folder, which outlives a failed rewrite.
+    """
     stored = stored_or_none(arrivals.sparkSession, path, arrivals.schema)
-    new_records(arrivals, stored, id_, overwrite).write.mode("append").parquet(path)
+    fresh = new_records(arrivals, stored, id_, overwrite)
+    if overwrite and stored is not None:
+        fresh = materialize(fresh, "arrived")
+        kept = stored.join(fresh.select(id_), id_, "left_anti").select(*stored.columns)
+        materialize(kept.unionByName(fresh), "replaced").write.mode("overwrite").parquet(path)
+    else:
+        fresh.write.mode("append").parquet(path)

@@ -98,6 +98,13 @@ def test_rating_sheet(spark, tmp_path):
     assert both.count() == 48
 
 
+def test_ingest_replaces_stored_records(spark):
+    path = fresh_path(spark, "replace")
+    for rows in ([(1, "a"), (2, "b")], [(1, "new"), (3, "c")]):
+        sinks.ingest(spark.createDataFrame(rows, "id long, v string"), path, "id", overwrite=True)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "b"), (3, "c")]
+
+
 def test_incremental_ingest(spark):
     path = fresh_path(spark, "stored")
     batch = spark.createDataFrame([(1,), (1,), (2,), (None,)], "PMID long")
