@@ -1,7 +1,7 @@
 """From raw documents to a training mix: quality, near copies, test items, personal data, source weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and
-rereads for the next one. All but the last keep the columns of ``documents``. Null texts count as empty in
+rereads for the next one. All but the last keep the columns of ``documents``; the last gives the mix, slot by slot. Null texts count as empty in
 decisions and stay null in the output; repeated rows are documents of their own; empty tables pass through.
 """
 
@@ -45,9 +45,9 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the words that the source mix takes of each."""
-    mixed = mixing.mix(docs, carry=("doc_id", "text", "lang", "source", "n_chars"))
-    return mixed.select("rec.*", "size", "source_size", "target", "taken")
+    """The training mix: one row per slot with its words; a document stands in it as often as the mix takes it, or not at all."""
+    ship(spark)
+    return mixing.ordered(docs, carry=("doc_id", "lang"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination),
