@@ -21,14 +21,38 @@ CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 ALL = "".join(CLASSES)
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: What may stand in a text, in order of preference at one place.
+#: Lengths of account numbers by country, as the IBAN register has them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+#: Calling codes are prefix-free: these, and three digits otherwise.
+CALLING = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Digits behind the calling code, where a country has one length for all its numbers.
+PHONE_LENGTHS = {8: "45 47 65 852", 9: "33 34 351 41 48 27 61 380 420 421", 10: "1 7 20 52 57 90 91 92"}
+SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+IP = rf"(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
+DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
+#: One more digit of a phone number; a blank parts its groups only where no other value begins.
+DIGIT = rf"(?:(?:[.-]| (?!{IP}|{DATE}|{SSN}))?\(?[0-9]\)?+)"
+TRUNK = r"(?:[ .-]?\(0\))?+"
+
+
+def _by_length(lengths: dict[int, str], form) -> str:
+    return "|".join(form("|".join(names.split(" ")), n) for n, names in lengths.items())
+
+
+PHONE_FIXED = _by_length(PHONE_LENGTHS, lambda codes, n: rf"\+(?:{codes}){TRUNK}{DIGIT}{{{n}}}(?![0-9])")
+IBAN_FIXED = _by_length(IBAN_LENGTHS, lambda countries, n: rf"(?:{countries})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}(?![\p{{L}}\p{{N}}])")
+#: What may stand in a text, in order of preference at one place. Numbers of a known length end there, others by their groups.
 FORMS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,8}",
-    "ip": rf"(?<![\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
-    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "ip": rf"(?<![\p{{N}}.]){IP}",
+    "date": rf"(?<![0-9]){DATE}",
+    "ssn": rf"(?<![0-9-]){SSN}",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN_FIXED}|[A-Z]{{2}}[0-9]{{2}}(?:[0-9A-Z]{{11,30}}|(?: [0-9A-Z]{{4}}){{2,7}}(?: [0-9A-Z]{{1,3}})?)(?![\p{{L}}\p{{N}}]))",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:{PHONE_FIXED}|\+[0-9]{DIGIT}{{6,14}}(?![0-9])|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}(?![0-9]))",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(FORMS.values())
@@ -100,13 +124,16 @@ def iban_rest(moved: Column) -> Column:
         c.rlike("[0-9]"), (s * 10 + F.coalesce(c.cast("int"), F.lit(0))) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
 
 
+def _slashed(text: Column, month: int, day: int) -> Column:
+    return F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, month, 2), F.substring(text, day, 2)).try_cast("date")
+
+
 def _day(text: Column) -> Column:
-    """The date that ``text`` writes, in whichever form, null where there is none."""
-    iso = F.regexp_replace(text, "/", "-")
-    dotted = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2))
-    slashed = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2))
-    plain = F.when(text.rlike("^[0-9]{4}"), iso).when(text.contains("."), dotted).otherwise(slashed)
-    return plain.try_cast("date")
+    """The date that ``text`` writes, in whichever form, null where there is none; slashed ones month first, or else day first."""
+    iso = F.regexp_replace(text, "/", "-").try_cast("date")
+    dotted = _slashed(text, 4, 1)
+    return F.when(text.rlike("^[0-9]{4}"), iso).when(text.contains("."), dotted).otherwise(
+        F.coalesce(_slashed(text, 1, 4), _slashed(text, 4, 1)))
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -114,8 +141,17 @@ def pseudonym(value: Column, key: str) -> Column:
     def tweak(kind: str) -> Column:
         return F.lit(f"{key}:{kind}")
 
+    def into(form: Column, marks: Column, held: str = "[0-9]") -> Column:
+        """``form`` with its digits replaced by ``marks`` one after the other, so that equal numbers agree however they are parted."""
+        return F.aggregate(F.split(form, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), lambda a, c: F.when(
+            c.rlike(held), F.struct(F.concat(a["out"], F.substring(marks, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
+            F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))), lambda a: a["out"])
+
     at = F.instr(value, F.lit("@"))
-    email = F.concat(_spelled(F.substring(value, F.lit(1), at - 1), tweak("email")), F.substring(value, at, F.length(value)))
+    name = F.substring(value, F.lit(1), at - 1)
+    # Names with letters outside the classes are masked whole: those letters have no pseudonyms of their kind.
+    masked = F.concat(F.lit("x"), F.substring(F.sha2(F.concat_ws(":", tweak("name"), name), 256), 1, 24))
+    email = F.concat(F.when(name.rlike(f"[^{ALL}._%+-]"), masked).otherwise(_spelled(name, tweak("email"))), F.substring(value, at, F.length(value)))
 
     octets = F.split(value, r"\.")
     ip = F.array_join(permuted(_ints(octets), F.array_repeat(F.lit(256), 4), tweak("ip")).cast("array<string>"), ".")
@@ -125,7 +161,8 @@ def pseudonym(value: Column, key: str) -> Column:
     new_day = F.date_add(F.lit(FIRST_DAY).cast("date"), at_day[1] * SLOW + at_day[0])
     date = F.when((day >= 0) & (day < DAYS), F.when(value.rlike("^[0-9]{4}-"), F.date_format(new_day, "yyyy-MM-dd")).when(
         value.rlike("^[0-9]{4}/"), F.date_format(new_day, "yyyy/MM/dd")).when(
-        value.contains("."), F.date_format(new_day, "dd.MM.yyyy")).otherwise(F.date_format(new_day, "MM/dd/yyyy")))
+        value.contains("."), F.date_format(new_day, "dd.MM.yyyy")).when(
+        _slashed(value, 1, 4).isNull(), F.date_format(new_day, "dd/MM/yyyy")).otherwise(F.date_format(new_day, "MM/dd/yyyy")))
 
     # Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
     parts = _ints(F.split(value, "-"))
@@ -135,22 +172,18 @@ def pseudonym(value: Column, key: str) -> Column:
     ssn = F.format_string("%03d-%02d-%04d", new_area, new_ssn[1] + 1, new_ssn[2] + 1)
 
     plain = F.regexp_replace(value, " ", "")
-    body = _spelled(F.substring(value, F.lit(5), F.length(value)), F.concat(tweak("iban"), F.substring(value, 1, 2)))
     country = F.substring(plain, 1, 2)
-    check = F.lit(98) - iban_rest(F.concat(F.regexp_replace(body, " ", ""), country, F.lit("00")))
+    body = _spelled(F.substring(plain, F.lit(5), F.length(plain)), F.concat(tweak("iban"), country))
+    check = F.lit(98) - iban_rest(F.concat(body, country, F.lit("00")))
     iban = F.when(iban_rest(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1,
-                  F.concat(country, F.lpad(check.cast("string"), 2, "0"), body))
-
-    def into(form: Column, marks: Column) -> Column:
-        """``form`` with its digits replaced by ``marks`` one after the other, so that equal numbers agree however they are parted."""
-        return F.aggregate(F.split(form, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), lambda a, c: F.when(
-            c.rlike("[0-9]"), F.struct(F.concat(a["out"], F.substring(marks, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
-            F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))), lambda a: a["out"])
+                  F.concat(country, F.lpad(check.cast("string"), 2, "0"), into(F.substring(value, F.lit(5), F.length(value)), body, "[0-9A-Z]")))
 
-    code = F.regexp_extract(value, r"^\+(?:1(?=[^0-9])|[0-9]{1,3}(?=[^0-9])|1|[0-9]{2})", 0)
-    local = F.substring(value, F.length(code) + 1, F.length(value))
+    # The calling code stays, and a trunk zero in brackets, which is no part of the number.
+    front = F.regexp_extract(value, rf"^\+{CALLING}{TRUNK}", 0)
+    code = F.regexp_extract(value, rf"^\+{CALLING}", 0)
+    local = F.substring(value, F.length(front) + 1, F.length(value))
     n_digits = F.length(_digits(value))
-    phone = F.when((n_digits >= 7) & (n_digits <= 15), F.concat(code, into(local, _spelled(
+    phone = F.when((n_digits >= 7) & (n_digits <= 15), F.concat(front, into(local, _spelled(
         _digits(local), F.concat(tweak("phone"), code)))))
 
     digits = _digits(value)
