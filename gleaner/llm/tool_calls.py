@@ -1,7 +1,7 @@
 """Tool calls linked to their results, checked against schemas and written as canonical JSON.
 
 An assistant's message that is a JSON object with "tool_calls" makes one row per call ("id",
-"name", "arguments"); a tool's message that is an object with "tool_call_id" is a result; a
+"name", "arguments", at the top or within "function"); a tool's message that is an object with "tool_call_id" is a result; a
 message that is an object with "tools" declares schemas. Calls meet results and schemas in joins on (conversation,
 identifier) and (conversation, name), so a conversation may be of any length. An argument
 {"$ref": identifier} depends on that call's result; levels follow from joins, one pass per level.
@@ -10,6 +10,7 @@ identifier) and (conversation, name), so a conversation may be of any length. An
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,33 +45,147 @@ def refs(value: object) -> list[str]:
     return sorted(found)
 
 
-def violations(value: object, schema: object, at: str = "$") -> list[str]:
-    """Where ``value`` breaks ``schema``: type, enum, required, properties, additionalProperties, items; references fit any type."""
+#: Keywords that say nothing about which values fit.
+NOTES = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly"}
+CHECKED = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum",
+           "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties", "anyOf", "oneOf", "allOf", "not", "$ref"}
+#: Levels of references and schemas followed; deeper ones are reported as unchecked.
+DEEPEST = 64
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, KINDS[kind]) and not (kind in ("integer", "number") and isinstance(value, bool))
+
+
+def _found(root: object, pointer: str) -> tuple[object, bool]:
+    """What a reference within the same schema points to, and whether there is such a place."""
+    if pointer != "#" and not pointer.startswith("#/"):
+        return None, False
+    held = root
+    for step in pointer.split("/")[1:]:
+        step = step.replace("~1", "/").replace("~0", "~")
+        if isinstance(held, list) and step.isdecimal() and int(step) < len(held):
+            held = held[int(step)]
+        elif isinstance(held, dict) and step in held:
+            held = held[step]
+        else:
+            return None, False
+    return held, True
+
+
+def _unchecked(found: list[str]) -> bool:
+    return any(x.partition(": ")[2].startswith("unchecked ") for x in found)
+
+
+def violations(value: object, schema: object, at: str = "$", root: object = None, depth: int = 0) -> list[str]:
+    """Where ``value`` breaks ``schema``, by the keywords CHECKED; references to results fit any type.
+
+    Another keyword, or a form of one that cannot be checked, is reported as "unchecked", not passed as valid.
+    """
+    root = schema if root is None else root
+    if schema is False:
+        return [f"{at}: not allowed"]
     if not isinstance(schema, dict) or isinstance(value, dict) and set(value) == {"$ref"}:
         return []
-    out = []
+    if depth > DEEPEST:
+        return [f"{at}: unchecked depth"]
+    out = [f"{at}: unchecked {k}" for k in sorted(set(schema) - CHECKED - NOTES)]
+    inner = lambda x, s, where=at: violations(x, s, where, root, depth + 1)
     kind = schema.get("type")
-    if isinstance(kind, str) and kind in KINDS:
-        fits = isinstance(value, KINDS[kind]) and not (kind in ("integer", "number") and isinstance(value, bool))
-        if not fits:
-            return [f"{at}: not {kind}"]
-    if isinstance(schema.get("enum"), list) and value not in schema["enum"]:
-        out.append(f"{at}: not in enum")
+    kinds = kind if isinstance(kind, list) else [kind]
+    if "type" in schema:
+        if not all(isinstance(k, str) and k in KINDS for k in kinds):
+            out.append(f"{at}: unchecked type")
+        elif not any(_is(value, k) for k in kinds):
+            return [*out, f"{at}: not {' or '.join(kinds)}"]
+    if "enum" in schema:
+        if not isinstance(schema["enum"], list):
+            out.append(f"{at}: unchecked enum")
+        elif not any(_equal(value, x) for x in schema["enum"]):
+            out.append(f"{at}: not in enum")
+    if "const" in schema and not _equal(value, schema["const"]):
+        out.append(f"{at}: not const")
+
+    def limit(name: str, held: object, breaks) -> None:
+        if name in schema:
+            if not _is(schema[name], "number"):
+                out.append(f"{at}: unchecked {name}")
+            elif held is not None and breaks(held, schema[name]):
+                out.append(f"{at}: {name}")
+
+    number = value if _is(value, "number") else None
+    limit("minimum", number, lambda x, n: x < n)
+    limit("maximum", number, lambda x, n: x > n)
+    limit("exclusiveMinimum", number, lambda x, n: x <= n)
+    limit("exclusiveMaximum", number, lambda x, n: x >= n)
+    for name, form in (("Length", str), ("Items", list), ("Properties", dict)):
+        size = len(value) if isinstance(value, form) else None
+        limit(f"min{name}", size, lambda x, n: x < n)
+        limit(f"max{name}", size, lambda x, n: x > n)
+    if "pattern" in schema and isinstance(value, str):
+        try:
+            if re.search(schema["pattern"], value) is None:
+                out.append(f"{at}: pattern")
+        except (re.error, TypeError):
+            out.append(f"{at}: unchecked pattern")
+    if schema.get("uniqueItems") is True and isinstance(value, list) and any(_equal(x, y) for i, x in enumerate(value) for y in value[:i]):
+        out.append(f"{at}: uniqueItems")
     if isinstance(value, dict):
         known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         required = schema.get("required") if isinstance(schema.get("required"), list) else []
+        more = schema.get("additionalProperties")
         out += [f"{at}.{n}: missing" for n in required if n not in value]
         for n in sorted(value):
             if n in known:
-                out += violations(value[n], known[n], f"{at}.{n}")
-            elif schema.get("additionalProperties") is False:
+                out += inner(value[n], known[n], f"{at}.{n}")
+            elif "patternProperties" in schema:
+                continue  # reported as unchecked
+            elif more is False:
                 out.append(f"{at}.{n}: unknown")
+            else:
+                out += inner(value[n], more, f"{at}.{n}")
     if isinstance(value, list):
         for i, x in enumerate(value):
-            out += violations(x, schema.get("items"), f"{at}[{i}]")
+            out += inner(x, schema.get("items"), f"{at}[{i}]")
+        if isinstance(schema.get("items"), list):
+            out.append(f"{at}: unchecked items")
+    for name in ("anyOf", "oneOf", "allOf"):
+        if name not in schema:
+            continue
+        if not isinstance(schema[name], list) or not schema[name]:
+            out.append(f"{at}: unchecked {name}")
+            continue
+        each = [inner(value, s) for s in schema[name]]
+        fits, open_ = sum(not e for e in each), sum(_unchecked(e) for e in each)
+        if name == "allOf":
+            out += [x for e in each for x in e]
+        elif open_ and (name == "oneOf" and fits < 2 or name == "anyOf" and not fits):
+            out.append(f"{at}: unchecked {name}")
+        elif fits == 0 or name == "oneOf" and fits > 1:
+            out.append(f"{at}: {name}")
+    if "not" in schema:
+        held = inner(value, schema["not"])
+        if not held or _unchecked(held):
+            out.append(f"{at}: not" if not held else f"{at}: unchecked not")
+    if "$ref" in schema:
+        held, there = _found(root, schema["$ref"]) if isinstance(schema["$ref"], str) else (None, False)
+        out += inner(value, held) if there else [f"{at}: unchecked $ref"]
     return out
 
 
+def _equal(a: object, b: object) -> bool:
+    """Equality of JSON values: 1 is 1.0, true is not 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return set(a) == set(b) and all(_equal(a[k], b[k]) for k in a)
+    return a == b
+
+
 def _written(value: object) -> object:
     """Strings with halves of surrogate pairs, which JSON can escape but UTF-8 cannot hold, replaced by "?"."""
     if isinstance(value, list):
@@ -88,27 +203,36 @@ def _object(text: str | None, mark: str) -> dict | None:
     return held if isinstance(held, dict) else None
 
 
+def _nested(held: dict) -> dict:
+    """Where a call or a tool has its name: itself, or its "function"."""
+    return held["function"] if isinstance(held.get("function"), dict) and "name" not in held else held
+
+
 def _parts(role: str | None, text: str | None) -> list[tuple]:
     """(kind, call_id, name, payload, refs, content) of a message's parts."""
     if role == "assistant" and (held := _object(text, "tool_calls")) is not None and isinstance(held.get("tool_calls"), list):
-        out = [("message", None, None, None, None, held.get("content") if isinstance(held.get("content"), str) else None)]
+        content = held.get("content")
+        out = [("message", None, None, None, None, content if content is None or isinstance(content, str) else canonical(content))]
         for call in held["tool_calls"]:
-            call = call if isinstance(call, dict) else {}
-            given = call.get("arguments")
+            if not isinstance(call, dict):  # no call, but content all the same
+                out.append(("call", None, None, canonical(call), [], None))
+                continue
+            inner = _nested(call)
+            given = inner.get("arguments")
             if isinstance(given, str):  # arguments are often JSON within a string
                 try:
                     given = json.loads(given)
                 except (ValueError, RecursionError):
                     pass
             out.append(("call", call.get("id") if isinstance(call.get("id"), str) else None,
-                        call.get("name") if isinstance(call.get("name"), str) else None, canonical(given), refs(given), None))
+                        inner.get("name") if isinstance(inner.get("name"), str) else None, canonical(given), refs(given), None))
         return out
     if role == "tool" and (held := _object(text, "tool_call_id")) is not None and isinstance(held.get("tool_call_id"), str):
         return [("result", held["tool_call_id"], None, canonical(held.get("content")), None, None)]
     if (held := _object(text, "tools")) is not None and isinstance(held.get("tools"), list):
         return [("message", None, None, None, None, text)] + [
             ("schema", None, tool["name"], canonical(tool.get("parameters")), None, None)
-            for tool in held["tools"] if isinstance(tool, dict) and isinstance(tool.get("name"), str)]
+            for tool in (_nested(t) for t in held["tools"] if isinstance(t, dict)) if isinstance(tool.get("name"), str)]
     return [("message", None, None, None, None, text)]
 
 
@@ -150,7 +274,7 @@ def linked(conversations: DataFrame) -> DataFrame:
     Order within a conversation is (turn, level of calls, part). ``status`` of a call: linked, unanswered, duplicate (its
     identifier names an earlier call), early (its first result comes before it), unordered (a cycle or unknown reference), unnamed;
     of a result: linked, duplicate, orphan. ``errors`` are violations of the schema declared in the conversation (the first
-    one of a name), or "no schema". Null conversations and turns stay, and link nothing; repeated rows are messages of their own, broken
+    one of a name), keywords that were not checked ("unchecked ..."), or "no schema". A message's content that is no string is carried as canonical JSON. Null conversations and turns stay, and link nothing; repeated rows are messages of their own, broken
     JSON is plain text; other columns are ignored; an empty table gives no rows.
     """
     source = conversations.select(
