@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bm25_wand, merkle, mixing, order_minhash, pii_feistel, pitman_yor, quality_mil, suffix_dedup, tool_calls, toxic_crf
+from gleaner.llm import (
+    bm25_wand, merkle, mixing, order_minhash, periodic_runs, pii_feistel, pitman_yor, quality_mil, sorted_projections,
+    suffix_dedup, target_resampling, tool_calls, toxic_crf, twins)
 from gleaner.llm.common import fold_of, ship, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +88,21 @@ def op10(spark, sf):
     return bm25_wand.with_contamination(docs, table(spark, sf, "benchmark")).drop("text")
 
 
+@query("op11_target_resampling", twins.TARGET_RESAMPLING)
+def op11(spark, sf):
+    return target_resampling.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_periodic_runs", twins.PERIODIC_RUNS)
+def op12(spark, sf):
+    return periodic_runs.collapsed(table(spark, sf, "documents"))
+
+
+@query("op13_sorted_projections", twins.SORTED_PROJECTIONS)
+def op13(spark, sf):
+    return sorted_projections.near_vectors(table(spark, sf, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
