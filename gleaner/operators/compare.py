@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.distributions import NORMAL_975
 from gleaner.operators.confusion import ratio
-from gleaner.operators.ordering import Splits, find_splits, quantiles
+from gleaner.operators.ordering import Splits, find_splits, join_groups, quantiles
 from gleaner.operators.scores import scale
 
 
@@ -98,7 +98,7 @@ def box_summary(df: DataFrame, groups: Sequence[str], value: str = "value",
     cuts = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, splits=splits)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return counted.join(cuts, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    return join_groups(counted, cuts, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_value"))).alias("whisker_high"),
         (F.sum(F.col("_value") * F.col("_n")) / F.sum("_n")).alias("mean"),

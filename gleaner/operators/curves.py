@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import confusion as cm
-from gleaner.operators.ordering import Splits, find_splits, present, running_sums
+from gleaner.operators.ordering import Splits, find_splits, join_groups, present, running_sums
 
 EXACT_POSITIONS = 256
 INFINITE = float("inf")
@@ -24,7 +24,7 @@ INFINITE = float("inf")
 def score_counts(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per group and distinct score."""
     plain = F.col(score).cast("double") + F.lit(0.0)
-    return (df.where(present([*groups, score]) & F.col(label).isin(0, 1))
+    return (df.where(present([score]) & F.col(label).isin(0, 1))
             .groupBy(*groups, plain.alias("score"))
             .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
 
@@ -185,7 +185,7 @@ def detailed_metrics(df: DataFrame, label: str, prediction: str, score: str, gro
     """Confusion, threshold metrics and curve figures, one row per group."""
     counted = cm.add_metrics(cm.confusion(df, label, prediction, groups))
     summary = curve_summary(curves(df, label, score, groups, splits), groups)
-    return counted.join(summary, list(groups), "left")
+    return join_groups(counted, summary, groups, "left") if groups else counted.join(summary, how="left")
 
 
 def naive_baselines(df: DataFrame, label: str, groups: Sequence[str]) -> DataFrame:

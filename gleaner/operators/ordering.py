@@ -25,6 +25,9 @@ import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gleaner.operators.typed_order import exact_as_double, ranked_typed
 
 MAX_RANGES = 8192
 
@@ -104,6 +107,18 @@ def present(names: Sequence[str]) -> Column:
     return out
 
 
+def with_group(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The group columns as one struct, which joins equal NULLs, and the keys to group by."""
+    return (df.withColumn("_g", F.struct(*groups)), ["_g"]) if groups else (df, [])
+
+
+def join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns that may be NULL; the columns stay on the left."""
+    left, keys = with_group(left, groups)
+    right, _ = with_group(right, groups)
+    return left.join(right.drop(*groups), keys, how).drop(*keys)
+
+
 def _ordered(names: Sequence[str], descending: bool) -> list[Column]:
     return [F.desc(n) if descending else F.asc(n) for n in names]
 
@@ -129,22 +144,25 @@ def ranked(df: DataFrame, score: str, tie: str, groups: Sequence[str] = (), *, r
     """Add the rank of ``score`` inside each group, over any number of rows.
 
     ``rank`` gives ties their lowest rank; ``position`` counts 1..n with ties in
-    the order of the numeric, unique column ``tie``. Rows without a score keep
-    NULL. Group columns must not be NULL. The input is read three times, so a
-    score that is costly to compute should be stored first.
+    the order of the unique column ``tie``. Rows without a score keep NULL; a NULL
+    group is a group. The input is read three times, so a score that is costly to
+    compute should be stored first. Values that doubles cannot tell apart, or that
+    are no numbers, are ordered by :mod:`gleaner.operators.typed_order`.
     """
-    splits = splits or find_splits(df, score, tie, ranges)
     groups = list(groups)
+    if splits is None and not (exact_as_double(df.schema[score].dataType) and isinstance(df.schema[tie].dataType, T.NumericType)):
+        return ranked_typed(df, score, tie, groups, rank=rank, position=position, descending=descending, ranges=ranges)
+    splits = splits or find_splits(df, score, tie, ranges)
     scored = _plain(score).isNotNull()
-    out = with_cells(df, score, tie, splits)
-    cells = out.where("_vr >= 0").groupBy(*groups, "_vr", "_tr").agg(F.count("*").alias("_n"))
+    out, held = with_group(with_cells(df, score, tie, splits), groups)
+    cells = out.where("_vr >= 0").groupBy(*held, "_vr", "_tr").agg(F.count("*").alias("_n"))
     order = [*_ordered(["_vr"], descending), F.asc("_tr")]
-    ahead = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*held).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    start = Window.partitionBy(*groups, "_vr")
+    start = Window.partitionBy(*held, "_vr")
     cells = cells.withColumn("_start", F.min("_ahead").over(start)).drop("_n")
 
-    keys = [*groups, "_vr", "_tr"]
+    keys = [*held, "_vr", "_tr"]
     joined = out.join(cells.hint("shuffle_hash"), keys, "left")
     local = Window.partitionBy(*keys)
     by_score = _ordered([score], descending)
@@ -165,11 +183,10 @@ def running_sums(weights: DataFrame, value: str, sums: Sequence[str], groups: Se
 
     Adds ``cum_<c>`` (up to and including the row) and ``all_<c>`` (whole group)
     for each column of ``sums``, and ``next_<c>`` for each column of ``ahead``:
-    its value on the following row of the group, NULL on the last.
+    its value on the following row of the group, NULL on the last. A NULL group is a group.
     """
-    groups = list(groups)
-    held = weights.where(present([*groups, value]))
-    out = _range_number(held, _plain(value), splits.values, "_vr")
+    out = _range_number(weights.where(present([value])), _plain(value), splits.values, "_vr")
+    out, groups = with_group(out, groups)
     first = F.min_by if not descending else F.max_by
     cells = out.groupBy(*groups, "_vr").agg(
         *[F.sum(c).alias(f"_s_{c}") for c in sums],
@@ -202,7 +219,7 @@ def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], groups
     """
     splits = splits or find_splits(df, value)
     groups = list(groups)
-    counted = (df.select(*groups, _plain(value).alias("_value")).where(present([*groups, "_value"]))
+    counted = (df.select(*groups, _plain(value).alias("_value")).where(present(["_value"]))
                .groupBy(*groups, "_value").agg(F.count("*").alias("_n")))
     placed = running_sums(counted, "_value", ["_n"], groups, splits=splits, descending=False)
     n, upto = F.col("all__n"), F.col("cum__n")

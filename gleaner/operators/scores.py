@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.ensemble import consensus
 from gleaner.functions.labels import decision, ranking_band, relevance_band
-from gleaner.operators.ordering import Splits, find_splits, quantiles
+from gleaner.operators.ordering import Splits, find_splits, join_groups, quantiles
 from gleaner.session import materialize
 
 
@@ -66,7 +66,7 @@ def ranking_summary(df: DataFrame, score: str, rank: str, groups: Sequence[str])
     ranks = held.groupBy(*groups).agg(F.min(rank).alias("rank_min"), F.max(rank).alias("rank_max"),
                                       F.avg(rank).alias("rank_mean"))
     middle = quantiles(held, rank, {"rank_median": 0.5}, groups, splits=by_rank)
-    return scores.join(ranks, list(groups)).join(middle, list(groups))
+    return join_groups(join_groups(scores, ranks, groups), middle, groups)
 
 
 def batch_kpis(df: DataFrame, score: str = "ensemble_score") -> DataFrame:

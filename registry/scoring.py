@@ -69,6 +69,54 @@ def rank_orders_by_price(spark, sf):
     return out.select("o_orderkey", "score_rank", "position", "status_rank")
 
 
+@query("typed_ranks", """
+WITH wide AS (
+  SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status, CASE WHEN o_orderkey % 11 <> 0 THEN 9007199254740992 + o_custkey % 7 END AS code,
+         CAST(floor(o_totalprice)::BIGINT || '0000000000000000' || (o_orderkey % 3) AS DECIMAL(38, 0)) AS amount, o_orderdate, o_orderpriority FROM orders)
+SELECT o_orderkey, CASE WHEN code IS NOT NULL THEN rank() OVER (ORDER BY code DESC NULLS LAST) END AS code_rank,
+       CASE WHEN code IS NOT NULL THEN row_number() OVER (ORDER BY code DESC NULLS LAST, o_orderkey) END AS code_position,
+       rank() OVER (PARTITION BY status ORDER BY amount) AS amount_rank,
+       row_number() OVER (PARTITION BY status ORDER BY o_orderdate DESC, o_orderkey) AS date_position,
+       rank() OVER (PARTITION BY status ORDER BY o_orderpriority DESC) AS priority_rank
+FROM wide""")
+def typed_ranks(spark, sf):
+    """Whole numbers above 2^53, decimals of more than 20 digits, timestamps and strings; one group is NULL."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"),
+        F.when(key % 11 != 0, F.lit(1 << 53) + F.col("o_custkey") % 7).alias("code"),
+        F.concat(F.floor(price).cast("string"), F.lit("0" * 16), (key % 3).cast("string")).cast("decimal(38,0)").alias("amount"),
+        "o_orderdate", "o_orderpriority")
+    out = ranked(orders, "code", "o_orderkey", rank="code_rank", position="code_position")
+    out = ranked(out, "amount", "o_orderkey", ["status"], rank="amount_rank", descending=False)
+    out = ranked(out, "o_orderdate", "o_orderkey", ["status"], position="date_position")
+    out = ranked(out, "o_orderpriority", "o_orderkey", ["status"], rank="priority_rank")
+    return out.select("o_orderkey", "code_rank", "code_position", "amount_rank", "date_position", "priority_rank")
+
+
+@query("null_group_summaries", """
+SELECT flag, round(avg(p), 6) AS mean, median(p) AS median, quantile_cont(p, 0.25) AS q25, quantile_cont(p, 0.75) AS q75, count(*) AS count
+FROM (SELECT nullif(l_returnflag, 'N') AS flag, floor(l_extendedprice) AS p FROM lineitem) GROUP BY flag""")
+def null_group_summaries(spark, sf):
+    """A summary in which rows without a group are a group."""
+    lines = table(spark, sf, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("flag"),
+                                                F.floor("l_extendedprice").cast("double").alias("p"))
+    out = S.score_summary(lines, "p", ["flag"])
+    return out.select("flag", F.round("mean", 6).alias("mean"), "median", "q25", "q75", "count")
+
+
+@query("null_group_ranks", """
+SELECT o_orderkey, rank() OVER (PARTITION BY status ORDER BY price DESC) AS price_rank,
+       row_number() OVER (PARTITION BY status ORDER BY price DESC, o_orderkey) AS position
+FROM (SELECT o_orderkey, nullif(o_orderstatus, 'O') AS status, floor(o_totalprice / 1000) AS price FROM orders)""")
+def null_group_ranks(spark, sf):
+    """Ranks inside groups of which one is NULL."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status"),
+                                               F.floor(F.col("o_totalprice") / 1000).cast("double").alias("price"))
+    out = ranked(orders, "price", "o_orderkey", ["status"], rank="price_rank", position="position")
+    return out.select("o_orderkey", "price_rank", "position")
+
+
 @query("score_filters", """
 SELECT 'between' AS rule, count(*) AS n, sum(id)::BIGINT AS id_sum FROM ensembled WHERE score BETWEEN 0.25 AND 0.75
 UNION ALL

@@ -93,3 +93,55 @@ def test_running_sums_cross_ranges(spark):
         total += r["a"]
         assert (r["cum_a"], r["all_a"]) == (total, sum(1 + v % 3 for v in range(50)))
         assert r["next_b"] == (out[place + 1]["b"] if place < 49 else None)
+
+
+def typed_rows(kind, n=500, seed=9):
+    rng = random.Random(seed)
+    import datetime
+    from decimal import Decimal
+    make = {"long": lambda: 2 ** 53 + rng.randrange(6), "decimal(38,10)": lambda: Decimal(10) ** 25 + Decimal(rng.randrange(5)) / 10 ** 10,
+            "string": lambda: "https://example.org/" + rng.choice(["", "a", "é", "z", "Z"]), "date": lambda: datetime.date(2020, 1, rng.randrange(1, 9)),
+            "double": lambda: rng.choice([0.5, float("nan"), rng.random()])}[kind]
+    values = [None if i % 9 == 0 else make() for i in range(n)]
+    return [(f"k{i * 17 % 1009:04d}", rng.choice(["a", "a", "a", None, "b"]), v) for i, v in enumerate(values)]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+@pytest.mark.parametrize("kind", ["long", "decimal(38,10)", "string", "date"])
+@pytest.mark.parametrize("descending", [True, False])
+def test_typed_ranks_equal_brute_force(spark, kind, ranges, descending):
+    """Values that doubles cannot tell apart, a string as tie column, a NULL group, and more ranges than some groups have rows."""
+    rows = typed_rows(kind)
+    df = spark.createDataFrame(rows, f"id string, g string, v {kind}")
+    out = O.ranked(df, "v", "id", ["g"], rank="r", position="p", descending=descending, ranges=ranges)
+    assert out.columns == ["id", "g", "v", "r", "p"]
+    want = {}
+    for group in ("a", "b", None):
+        held = sorted(((v, i) for i, g, v in rows if g == group and v is not None), key=lambda x: x[1])
+        held.sort(key=lambda x: x[0], reverse=descending)
+        first = {}
+        for place, (v, i) in enumerate(held, 1):
+            want[i] = (first.setdefault(v, place), place)
+    assert {r["id"]: (r["r"], r["p"]) for r in out.collect()} == {i: want.get(i, (None, None)) for i, _, _ in rows}
+
+
+def test_typed_ranks_without_groups_or_rows(spark):
+    df = spark.createDataFrame([(1, 2 ** 53 + 1), (2, 2 ** 53), (3, 2 ** 53 + 1), (4, None)], "id long, v long")
+    assert sorted((r["id"], r["r"], r["p"]) for r in O.ranked(df, "v", "id", rank="r", position="p").collect()) == [
+        (1, 1, 1), (2, 3, 3), (3, 1, 2), (4, None, None)]
+    assert O.ranked(df.where("id > 9"), "v", "id", rank="r").collect() == []
+
+
+def test_null_groups_are_groups(spark):
+    from gleaner.operators.compare import box_summary
+    from gleaner.operators.curves import curves, detailed_metrics
+    from gleaner.operators.scores import score_summary
+    rows = [(i, "a" if i % 3 else None, (i * 7 % 23) / 23, i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, s double, label int")
+    alone = df.where("g is null").withColumn("g", F.lit("b"))
+    for run in (lambda d: O.quantiles(d, "s", {"m": 0.5}, ["g"]), lambda d: score_summary(d, "s", ["g"]), lambda d: box_summary(d, ["g"], "s"),
+                lambda d: O.ranked(d, "s", "id", ["g"], rank="r", position="p"), lambda d: curves(d, "label", "s", ["g"]),
+                lambda d: detailed_metrics(d.withColumn("p", F.lit(1)), "label", "p", "s", ["g"])):
+        key = lambda r: [x for x in r if x not in ("b", None)]
+        got = sorted((key(r) for r in run(df).where("g is null").collect()))
+        assert got == sorted(key(r) for r in run(alone).collect()) and got
