@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +62,41 @@ def chi_square_tail(x: Column, df: Column) -> Column:
     return F.when(x <= 0, F.lit(1.0)).when(df % 2 == 0, even).otherwise(erfc(F.sqrt(h)) + odd_part)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a column expression that is evaluated once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Cells up to which the exact distribution of U is counted; all counts below are whole doubles.
+EXACT_CELLS = 2000
+
+
+def u_counts(n1: Column, n2: Column) -> Column:
+    """In how many orders of two samples U takes each of the values 0 to n1 * n2.
+
+    The counts are the coefficients of the product over i = 1..n1 of (1 - x^(n2 + i)) / (1 - x^i), taken one i at a
+    time, so that every step ends in whole numbers without a sign.
+    """
+    cells = (n1 * n2).cast("int")
+
+    def step(counts: Column, i: Column) -> Column:
+        # Times 1 - x^(n2 + i), then over 1 - x^i: a running sum in steps of i.
+        times = _bound(counts, lambda c: F.transform(c, lambda x, j: x - F.coalesce(F.get(c, (j - n2 - i).cast("int")), F.lit(0.0))))
+        return _bound(times, lambda c: F.transform(c, lambda x, j: F.aggregate(
+            F.sequence(F.lit(0), F.floor(j / i).cast("int")), F.lit(0.0), lambda total, t: total + F.get(c, (j - t * i).cast("int")))))
+
+    one = F.transform(F.sequence(F.lit(0), cells), lambda j: F.when(j == 0, 1.0).otherwise(0.0))
+    return F.aggregate(F.sequence(F.lit(1), n1.cast("int")), one, step)
+
+
+def u_two_sided(u: Column, n1: Column, n2: Column) -> Column:
+    """Exact P(U is as far from its middle as ``u``), both sides, for two tie-free samples."""
+    least, most = F.least(n1, n2), F.greatest(n1, n2)
+    far = F.greatest(u, n1 * n2 - u)
+    return _bound(u_counts(least, most), lambda c: F.least(F.lit(1.0), 2 * F.aggregate(
+        F.filter(c, lambda x, j: j >= far), F.lit(0.0), lambda a, x: a + x) / F.aggregate(c, F.lit(0.0), lambda a, x: a + x)))
+
+
 def _phi(z: float) -> float:
     return math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
 
@@ -82,6 +118,21 @@ def range_tail(q: float, k: int, steps: int = 400, reach: float = 9.0) -> float:
     return max(0.0, 1.0 - k * total * width / 3)
 
 
+def range_tail_of(q: Column, k: int, steps: int = 400, reach: float = 9.0) -> Column:
+    """:func:`range_tail` of a column: the same rule, with its nodes as literals."""
+    width = 2 * reach / steps
+    nodes = [-reach + i * width for i in range(steps + 1)]
+    weights = [(1 if i in (0, steps) else 4 if i % 2 else 2) * _phi(z) * k * width / 3 for i, z in enumerate(nodes)]
+    table = F.lit(np.array([[z, w, _cdf(z)] for z, w in zip(nodes, weights)]).ravel())
+
+    def part(total: Column, i: Column) -> Column:
+        z, weight, below = (F.get(table, (3 * i + c).cast("int")) for c in range(3))
+        return total + weight * F.pow(F.greatest(below - erfc((q - z) / math.sqrt(2)) / 2, F.lit(0.0)), F.lit(float(k - 1)))
+
+    inside = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), part)
+    return F.when(q <= 0, F.lit(1.0)).otherwise(F.greatest(1 - inside, F.lit(0.0)))
+
+
 def range_critical(k: int, alpha: float = 0.05) -> float:
     """The q that ``range_tail`` brings down to ``alpha``, by bisection."""
     low, high = 0.0, 20.0

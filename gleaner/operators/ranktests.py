@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.distributions import (chi_square_tail, normal_two_sided, range_critical, range_tail)
+from gleaner.functions.distributions import (EXACT_CELLS, chi_square_tail, normal_two_sided, range_critical, range_tail_of,
+                                             u_two_sided)
 from gleaner.operators.confusion import ratio
 from gleaner.operators.ordering import Splits, find_splits, present, running_sums
 
 
+# Fixed value: the smaller side up to which the exact distribution is asked.
+EXACT_SIDE = 8
+
+
 def block_ranks(df: DataFrame, block: Sequence[str], treatment: str, value: str,
                 descending: bool = True) -> DataFrame:
     """Average-tie rank of each treatment inside its block.
@@ -55,7 +60,7 @@ def average_ranks(df: DataFrame, block: Sequence[str], treatment: str, value: st
 
 
 def nemenyi(df: DataFrame, block: Sequence[str], treatment: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """Every pair of treatments: rank difference, q, critical difference and decision.
+    """Every pair of treatments: rank difference, q, p-value, critical difference and decision.
 
     Works on one row per treatment; the number of treatments sets the critical
     value, so it is read first.
@@ -71,24 +76,43 @@ def nemenyi(df: DataFrame, block: Sequence[str], treatment: str, value: str, alp
     distance = F.lit(critical / 2 ** 0.5) * spread
     return pairs.select(
         "model_a", "model_b", difference.alias("rank_difference"), (difference / spread).alias("q"),
-        distance.alias("critical_difference"), (difference >= distance).alias("significant"))
+        range_tail_of(difference / spread * 2 ** 0.5, max(k, 2)).alias("p_value"), distance.alias("critical_difference"), (difference >= distance).alias("significant"))
+
 
+def undistinguished(df: DataFrame, block: Sequence[str], treatment: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """Groups of treatments that do not differ: the longest stretches of average ranks within the critical difference.
 
-def nemenyi_p_value(q: float, k: int) -> float:
-    """p-value of a pairwise statistic ``q`` of :func:`nemenyi` among ``k`` treatments."""
-    return range_tail(q * 2 ** 0.5, k)
+    One row per group of two or more, best first, with its treatments in the order of their ranks; a treatment may be in several.
+    Works on one row per treatment.
+    """
+    ranks = average_ranks(df, block, treatment, value)
+    k, blocks = ranks.agg(F.count("*"), F.max("blocks")).first()
+    critical = range_critical(k, alpha) / 2 ** 0.5 * (k * (k + 1) / (6.0 * blocks)) ** 0.5 if k >= 2 else 0.0
+    order = Window.orderBy("avg_rank", treatment)
+    numbered = ranks.withColumn("_no", F.row_number().over(order))
+    # The stretch from a treatment ends before the first rank that is a critical difference away.
+    start = numbered.select(F.col("_no").alias("_from"), F.col("avg_rank").alias("_start"))
+    near = start.join(numbered, (F.col("_no") >= F.col("_from")) & (F.col("avg_rank") - F.col("_start") < critical))
+    reach = near.groupBy("_from").agg(F.max("_no").alias("_to"))
+    # A stretch that ends where an earlier one does lies inside it.
+    longest = reach.groupBy("_to").agg(F.min("_from").alias("_from")).where("_to > _from")
+    inside = longest.select("_from", "_to").join(numbered, F.col("_no").between(F.col("_from"), F.col("_to")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("avg_rank", treatment))), lambda x: x[treatment])
+    return inside.groupBy("_from").agg(F.min("avg_rank").alias("best_rank"), F.max("avg_rank").alias("worst_rank"),
+                                       F.count("*").alias("members"), listed.alias("treatments")).drop("_from")
 
 
 def mann_whitney(df: DataFrame, side: str, first, second, value: str, groups: Sequence[str] = (),
                  splits: Splits | None = None) -> DataFrame:
-    """Two-sided test of two sides: U of the first, tie-corrected normal p-value.
+    """Two-sided test of two sides: U of the first, z and p-value.
 
-    Values are counted per distinct value, then ranked by one running sum. The
-    p-value is the asymptotic one with continuity correction.
+    Values are counted per distinct value, then ranked by one running sum. The p-value is exact where no values tie, one
+    side has at most eight of them and there are at most ``EXACT_CELLS`` pairs, else the tie-corrected normal one with
+    continuity correction; ``method`` says which.
     """
     splits = splits or find_splits(df, value)
     in_a, in_b = F.col(side) == first, F.col(side) == second
-    counted = (df.where((in_a | in_b) & present([*groups, value]))
+    counted = (df.where((in_a | in_b) & present([value]))
                .groupBy(*groups, F.col(value).cast("double").alias("_value"))
                .agg(F.count_if(in_a).alias("a"), F.count_if(in_b).alias("b")))
     table = running_sums(counted, "_value", ["a", "b"], groups, splits=splits, descending=False)
@@ -101,8 +125,11 @@ def mann_whitney(df: DataFrame, side: str, first, second, value: str, groups: Se
     n = n1 + n2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
     z = ratio(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread, None)
-    return summed.select(*groups, "n1", "n2", "u", z.alias("z"),
-                         F.least(normal_two_sided(F.greatest(z, F.lit(0.0))), F.lit(1.0)).alias("p_value"))
+    exact = (F.col("_ties") == 0) & (F.least(n1, n2).between(1, EXACT_SIDE)) & (n1 * n2 <= EXACT_CELLS)
+    normal = F.least(normal_two_sided(F.greatest(z, F.lit(0.0))), F.lit(1.0))
+    return summed.select(
+        *groups, "n1", "n2", "u", z.alias("z"), F.when(exact, u_two_sided(u, n1, n2)).otherwise(normal).alias("p_value"),
+        F.when(exact, "exact").otherwise("asymptotic").alias("method"))
 
 
 def pooled_effect(mean_a: Column, mean_b: Column, var_a: Column, var_b: Column) -> Column:

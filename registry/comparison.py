@@ -176,31 +176,84 @@ def average_ranks(spark, sf):
     return r6(out, ["model", "blocks"], ["avg_rank", "mean_value"])
 
 
+def phi_sql(x):
+    """The normal distribution function, by Simpson's rule from 0."""
+    return (f"(0.5 + ({x}) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: "
+            f"(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(({x}) * i / 400, 2) / 2))))")
+
+
 # Fixed value: studentized range at .05 for 5 groups over the root of 2, as published (2.728).
-@query("nemenyi_pairs", with_metrics("""
-SELECT a.model AS model_a, b.model AS model_b, round(abs(a.r - b.r), 6) AS rank_difference,
-       round(abs(a.r - b.r) / sqrt(30 / (6.0 * a.n)), 6) AS q, round(2.728 * sqrt(30 / (6.0 * a.n)), 3) AS critical_difference,
-       abs(a.r - b.r) >= 2.728 * sqrt(30 / (6.0 * a.n)) AS significant
+PAIRS_SQL = """pairs AS (
+SELECT a.model AS model_a, b.model AS model_b, abs(a.r - b.r) AS d, abs(a.r - b.r) / sqrt(30 / (6.0 * a.n)) AS q, 2.728 * sqrt(30 / (6.0 * a.n)) AS cd
 FROM (SELECT model, avg(rank_down) AS r, count(*) AS n FROM ranks GROUP BY model) a
-JOIN (SELECT model, avg(rank_down) AS r FROM ranks GROUP BY model) b ON a.model < b.model""", RANKS))
+JOIN (SELECT model, avg(rank_down) AS r FROM ranks GROUP BY model) b ON a.model < b.model)"""
+TAILS_SQL = f"""nodes AS (SELECT j, -9 + j * 0.045::DOUBLE AS z, CASE WHEN j IN (0, 400) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 401) t(j)),
+tails AS (
+SELECT model_a, model_b, 1 - 5 * 0.045::DOUBLE / 3 * sum(w * exp(-z * z / 2) / sqrt(2 * pi()) * power({phi_sql('z')} - {phi_sql('z - q * sqrt(2)')}, 4)) AS p
+FROM pairs, nodes GROUP BY ALL)"""
+
+
+@query("nemenyi_pairs", with_metrics("""
+SELECT model_a, model_b, round(d, 6) AS rank_difference, round(q, 6) AS q, round(cd, 3) AS critical_difference, d >= cd AS significant,
+       abs(round(p, 6)) AS p_value FROM pairs JOIN tails USING (model_a, model_b)""", RANKS, PAIRS_SQL, TAILS_SQL))
 def nemenyi_pairs(spark, sf):
     out = R.nemenyi(fold_metrics(spark, sf), ["added", "run", "fold"], "model", "accuracy")
-    return out.select("model_a", "model_b", F.round("rank_difference", 6).alias("rank_difference"),
-                      F.round("q", 6).alias("q"), F.round("critical_difference", 3).alias("critical_difference"), "significant")
+    return out.select("model_a", "model_b", F.round("rank_difference", 6).alias("rank_difference"), F.round("q", 6).alias("q"),
+                      F.round("critical_difference", 3).alias("critical_difference"), "significant", F.round("p_value", 6).alias("p_value"))
+
+
+@query("undistinguished_models", with_metrics("""
+SELECT round(best_rank, 6) AS best_rank, round(worst_rank, 6) AS worst_rank, members, treatments FROM (
+  SELECT a.r AS best_rank, max(b.r) AS worst_rank, count(*) AS members, string_agg(b.model, ', ' ORDER BY b.r, b.model) AS treatments
+  FROM means a JOIN means b ON b.r >= a.r AND b.r - a.r < 2.728 * sqrt(30 / (6.0 * a.n)) GROUP BY a.model, a.r)
+WHERE members > 1 QUALIFY row_number() OVER (PARTITION BY worst_rank ORDER BY best_rank) = 1""", RANKS, """means AS (
+SELECT model, avg(rank_down) AS r, count(*) AS n FROM ranks GROUP BY model)"""))
+def undistinguished_models(spark, sf):
+    """Models whose average ranks lie within one critical difference."""
+    out = R.undistinguished(fold_metrics(spark, sf), ["added", "run", "fold"], "model", "accuracy")
+    return out.select(F.round("best_rank", 6).alias("best_rank"), F.round("worst_rank", 6).alias("worst_rank"), "members",
+                      F.concat_ws(", ", "treatments").alias("treatments"))
+
+
+Z_SQL = """(greatest(u, n1 * n2 - u) - n1 * n2 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n2 / 12.0::DOUBLE * ((n + 1) - ties / (n * (n - 1))::DOUBLE))"""
 
 
-@query("mann_whitney_domains", with_metrics("""
-SELECT metric, n1, n2, u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0::DOUBLE - 0.5)
-       / sqrt(n1 * n2 / 12.0::DOUBLE * ((n + 1) - ties / (n * (n - 1))::DOUBLE)), 6) AS z FROM (
+@query("mann_whitney_domains", with_metrics(f"""
+SELECT metric, n1, n2, u, round(z, 6) AS z, round(least(1.0::DOUBLE, 2 * (1 - {phi_sql('greatest(z, 0)')})), 8) AS p_value FROM (SELECT *, {Z_SQL} AS z FROM (
   SELECT metric, sum(a)::BIGINT AS n1, sum(1 - a)::BIGINT AS n2, count(*) AS n,
          sum(a * r) - sum(a) * (sum(a) + 1) / 2.0::DOUBLE AS u, sum(t * t - 1) AS ties FROM (
     SELECT metric, contains(lower(model), 'bio')::INT AS a, rank() OVER (PARTITION BY metric ORDER BY value)
            + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0::DOUBLE AS r,
-           count(*) OVER (PARTITION BY metric, value) AS t FROM long) GROUP BY metric)""", LONG))
+           count(*) OVER (PARTITION BY metric, value) AS t FROM long) GROUP BY metric))""", LONG))
 def mann_whitney_domains(spark, sf):
     named = long_metrics(spark, sf).withColumn("domain", L.model_domain(F.col("model")))
     out = R.mann_whitney(named, "domain", "In-Domain", "Out-of-Domain", "value", ["metric"])
-    return out.select("metric", "n1", "n2", "u", F.round("z", 6).alias("z"))
+    return out.select("metric", "n1", "n2", "u", F.round("z", 6).alias("z"), F.round("p_value", 8).alias("p_value"))
+
+
+@query("mann_whitney_customers", f"""
+WITH RECURSIVE sided AS (SELECT o_custkey, (o_orderstatus = 'O')::INT AS a, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('O', 'F')),
+tests AS (
+  SELECT o_custkey, sum(a)::BIGINT AS n1, sum(1 - a)::BIGINT AS n2, count(*) AS n, sum(a * r) - sum(a) * (sum(a) + 1) / 2.0::DOUBLE AS u,
+         sum(t * t - 1) AS ties FROM (
+    SELECT o_custkey, a, rank() OVER (PARTITION BY o_custkey ORDER BY v) + (count(*) OVER (PARTITION BY o_custkey, v) - 1) / 2.0::DOUBLE AS r,
+           count(*) OVER (PARTITION BY o_custkey, v) AS t FROM sided) GROUP BY o_custkey),
+ways AS (
+  SELECT 0 AS n, 0 AS a, 0 AS s, 1::DOUBLE AS ways
+  UNION ALL
+  SELECT n, a, s, sum(ways) FROM (
+    SELECT n + 1 AS n, a + x AS a, s + x * (n + 1) AS s, ways FROM ways, (VALUES (0), (1)) t(x)
+    WHERE n < (SELECT max(n) FROM tests) AND a + x <= 8) GROUP BY n, a, s),
+shares AS (SELECT n, a, s - a * (a + 1) / 2 AS u, ways / sum(ways) OVER (PARTITION BY n, a) AS share FROM ways),
+exact AS (
+  SELECT o_custkey, least(1.0::DOUBLE, 2 * sum(share)) AS p FROM tests t JOIN shares w ON w.n = t.n AND w.a = least(n1, n2) AND w.u >= greatest(t.u, n1 * n2 - t.u)
+  WHERE ties = 0 AND least(n1, n2) BETWEEN 1 AND 8 AND n1 * n2 <= 2000 GROUP BY o_custkey)
+SELECT t.o_custkey, n1, n2, u, round(coalesce(p, least(1.0::DOUBLE, 2 * (1 - {phi_sql(f'greatest({Z_SQL}, 0)')}))), 8) AS p_value,
+       CASE WHEN p IS NULL THEN 'asymptotic' ELSE 'exact' END AS method FROM tests t LEFT JOIN exact USING (o_custkey) WHERE least(n1, n2) > 0""")
+def mann_whitney_customers(spark, sf):
+    """Open against filled orders of every customer: small samples with an exact p-value, larger ones with the normal one."""
+    out = R.mann_whitney(table(spark, sf, "orders"), "o_orderstatus", "O", "F", "o_totalprice", ["o_custkey"])
+    return out.where("least(n1, n2) > 0").select("o_custkey", "n1", "n2", "u", F.round("p_value", 8).alias("p_value"), "method")
 
 
 @query("mann_whitney_prices", """

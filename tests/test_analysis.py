@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import distributions as D
 from gleaner.functions import vectors
 from gleaner.functions.ensemble import ensemble_result
 from gleaner.operators import agreement as A
@@ -207,14 +208,47 @@ def test_nemenyi_has_no_limit_on_models(spark):
     assert R.nemenyi(df, ["fold"], "model", "v").count() == 120 * 119 // 2
 
 
-def test_nemenyi_pairs(spark):
+def test_nemenyi_pairs(spark, value):
     df = spark.createDataFrame([(b, f"m{m}", float(-m)) for b in range(10) for m in range(3)], "fold int, model string, v double")
     out = {(r["model_a"], r["model_b"]): r for r in R.nemenyi(df, ["fold"], "model", "v").collect()}
     assert set(out) == set(itertools.combinations(["m0", "m1", "m2"], 2))
     far = out["m0", "m2"]
     assert far["rank_difference"] == 2 and far["significant"]
     assert far["critical_difference"] == pytest.approx(2.343 * np.sqrt(12 / 60), abs=2e-3)
-    assert R.nemenyi_p_value(2.343, 3) == pytest.approx(0.05, abs=1e-3)
+    assert value(D.range_tail_of(F.lit(2.343 * 2 ** 0.5), 3)) == pytest.approx(0.05, abs=1e-3)
+
+
+def test_models_that_do_not_differ(spark):
+    """Maximal stretches of average ranks against a plain search."""
+    rng = random.Random(12)
+    rows = [(b, m, m * 0.35 + rng.random() * 3) for b in range(25) for m in range(9)]
+    df = spark.createDataFrame([(b, f"m{m}", v) for b, m, v in rows], "fold int, model string, v double")
+    ranks = sorted((r["avg_rank"], r["model"]) for r in R.average_ranks(df, ["fold"], "model", "v").collect())
+    reach = D.range_critical(9) / 2 ** 0.5 * (9 * 10 / (6 * 25)) ** 0.5
+    stretches = [[m for r, m in ranks[i:] if r - ranks[i][0] < reach] for i in range(9)]
+    want = sorted(s for s in stretches if len(s) > 1 and not any(set(s) < set(t) for t in stretches))
+    assert sorted(r["treatments"] for r in R.undistinguished(df, ["fold"], "model", "v").collect()) == want and len(want) > 1
+
+
+@pytest.mark.parametrize(("n1", "n2"), [(1, 1), (2, 3), (4, 5), (3, 8), (8, 5)])
+def test_exact_distribution_of_u_by_enumeration(value, n1, n2):
+    counts = Counter(sum(ranks) - n1 * (n1 + 1) // 2 for ranks in itertools.combinations(range(1, n1 + n2 + 1), n1))
+    assert value(D.u_counts(F.lit(n1), F.lit(n2))) == [counts[u] for u in range(n1 * n2 + 1)]
+    total = sum(counts.values())
+    for u in (0, 1, n1 * n2 // 2, n1 * n2):
+        want = min(1.0, 2 * sum(n for x, n in counts.items() if x >= max(u, n1 * n2 - u)) / total)
+        assert value(D.u_two_sided(F.lit(float(u)), F.lit(float(n1)), F.lit(float(n2)))) == pytest.approx(want, abs=1e-12)
+
+
+def test_mann_whitney_is_exact_for_small_samples_without_ties(spark):
+    groups = {"small": ([1.0, 4.0, 6.0], [2.0, 3.0, 5.0, 7.0]), "tied": ([1.0, 2.0], [2.0, 3.0]),
+              "large": ([i + 0.5 for i in range(9)], [float(i) for i in range(9)]), None: ([9.0, 8.0], [1.0, 2.0, 3.0])}
+    rows = [(g, side, v) for g, pair in groups.items() for side, values in zip("ab", pair) for v in values]
+    out = {r["g"]: r for r in R.mann_whitney(spark.createDataFrame(rows, "g string, side string, v double"), "side", "a", "b", "v", ["g"]).collect()}
+    assert {g: r["method"] for g, r in out.items()} == {"small": "exact", "tied": "asymptotic", "large": "asymptotic", None: "exact"}
+    assert out[None]["p_value"] == pytest.approx(2 / 10) and out[None]["u"] == 6
+    assert out["small"]["p_value"] == pytest.approx(1.0 if out["small"]["u"] == 6 else 2 * sum(
+        sum(r) - 6 >= max(out["small"]["u"], 12 - out["small"]["u"]) for r in itertools.combinations(range(1, 8), 3)) / 35)
 
 
 def test_mann_whitney_by_definition(spark):
