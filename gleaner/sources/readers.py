@@ -12,6 +12,7 @@ from gleaner.functions.fulltext import BODY_SCHEMA, flat_text
 from gleaner.functions.text import clean_or_null, scorable
 from gleaner.operators.columns import drop_index_columns, find_column, lenient_double
 from gleaner.sources import schemas
+from gleaner.sources.sinks import LINE_CODES
 
 
 def _empty_to_null(df: DataFrame) -> DataFrame:
@@ -20,17 +21,34 @@ def _empty_to_null(df: DataFrame) -> DataFrame:
                        if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None,
-             multi_line: bool = True) -> DataFrame:
+def _csv(spark: SparkSession, path: str | list[str], line_breaks: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """Rows of CSV files with headers. Only ``quoted`` line breaks keep a file in one task; ``escaped`` ones are put back."""
+    if line_breaks not in ("quoted", "escaped"):
+        raise ValueError(f"unsupported line breaks: {line_breaks}")
+    reader = (spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks == "quoted")
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    reader = reader.option("enforceSchema", False).schema(schema) if schema else reader.option("inferSchema", False)
+    return reader.csv(path)
+
+
+def _restored(df: DataFrame, line_breaks: str) -> DataFrame:
+    def decoded(name: str) -> Column:
+        cell = F.col(f"`{name}`")
+        for raw, code in reversed(LINE_CODES):
+            cell = F.replace(cell, F.lit(code), F.lit(raw))
+        return cell.alias(name)
+    if line_breaks == "quoted":
+        return df
+    return df.select(*[decoded(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, line_breaks: str = "quoted") -> DataFrame:
     """CSV with a header; fields may hold quotes and line breaks.
 
-    Without a schema every column is a string, which needs no inference pass.
-    ``multi_line=False`` lets Spark split large files.
+    Without a schema every column is a string, which needs no inference pass. Files whose line breaks are ``escaped``
+    (:func:`sinks.write_csv`), or that have none and no percent codes, are split over tasks; a file with quoted ones is one task's.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    reader = reader.option("enforceSchema", False) if schema else reader
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
-    return drop_index_columns(_empty_to_null(df))
+    return drop_index_columns(_empty_to_null(_restored(_csv(spark, path, line_breaks, schema), line_breaks)))
 
 
 def score_input(df: DataFrame) -> DataFrame:
@@ -48,8 +66,8 @@ def score_input(df: DataFrame) -> DataFrame:
     return df.withColumns(cells)
 
 
-def read_score_csv(spark: SparkSession, path: str) -> DataFrame:
-    return score_input(read_csv(spark, path))
+def read_score_csv(spark: SparkSession, path: str, line_breaks: str = "quoted") -> DataFrame:
+    return score_input(read_csv(spark, path, line_breaks=line_breaks))
 
 
 def _given(value: Column) -> Column:
@@ -138,16 +156,17 @@ def file_stem() -> Column:
     return F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
 
 
-def read_fold_predictions(spark: SparkSession, pattern: str, schema: str = schemas.PREDICTIONS) -> DataFrame:
+def read_fold_predictions(spark: SparkSession, pattern: str, schema: str = schemas.PREDICTIONS,
+                          line_breaks: str = "quoted") -> DataFrame:
     """All prediction files that match, in one scan, with ``source_file``.
 
     Columns are taken by name, so an index column an export added does no harm.
     """
     wanted = T.StructType.fromDDL(schema)
-    raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-           .option("inferSchema", False).csv(pattern))
+    raw = _csv(spark, pattern, line_breaks)
+    named = _restored(raw.select(*[f"`{f.name}`" for f in wanted], file_stem().alias("source_file")), line_breaks)
     cells = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted]
-    return raw.select(*cells, file_stem().alias("source_file"))
+    return named.select(*cells, "source_file")
 
 
 # The three forms of a prediction file's name.
@@ -213,24 +232,24 @@ def checked_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def without_header_rows(df: DataFrame, rows: int) -> DataFrame:
     """Drop the first data rows of every file, which hold names and not ratings.
 
-    A row's number within its scan task grows in file order; the smallest number
-    of each file marks where the file starts. One such row per file is kept in
-    the list, so it joins as a small side.
+    They are in the file's first block, whatever task reads it and however many blocks there are: a row's number within its
+    scan task grows along a block, and the smallest number in the first block is where the file starts. One such row
+    per file is kept in the list, so it joins as a small side.
     """
-    numbered = df.select("*", F.col("_metadata.file_path").alias("_file"),
+    numbered = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                          F.monotonically_increasing_id().alias("_row"))
-    starts = numbered.groupBy("_file").agg(F.min("_row").alias("_start"))
-    return (numbered.join(starts, "_file").where(F.col("_row") >= F.col("_start") + rows)
-            .drop("_file", "_start").withColumnRenamed("_row", "sheet_row"))
+    starts = numbered.where("_block = 0").groupBy("_file").agg(F.min("_row").alias("_start"))
+    named = (F.col("_block") == 0) & (F.col("_row") < F.col("_start") + rows)
+    return numbered.join(starts, "_file").where(~named).drop("_file", "_block", "_start").withColumnRenamed("_row", "sheet_row")
 
 
 def rating_sheet(spark: SparkSession, path: str, criteria: Sequence[str], raters: tuple[str, str],
-                 phase: str, start_column: int = 4, header_rows: int = 2, paper: str | None = None) -> DataFrame:
+                 phase: str, start_column: int = 4, header_rows: int = 2, paper: str | None = None,
+                 line_breaks: str = "quoted") -> DataFrame:
     """Long ratings (paper, phase, criterion, rater, rating) of a sheet with two columns per criterion."""
-    raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-           .option("inferSchema", False).csv(path))
+    raw = _csv(spark, path, line_breaks)
     names = raw.columns[start_column:start_column + 2 * len(criteria)]
-    data = without_header_rows(raw, header_rows)
+    data = _restored(without_header_rows(raw, header_rows), line_breaks)
     cells = [F.struct(F.lit(criterion).alias("criterion"), F.lit(raters[side]).alias("rater"),
                       clean_or_null(F.col(f"`{names[2 * i + side]}`")).alias("rating"))
              for i, criterion in enumerate(criteria) for side in (0, 1)]

@@ -1,13 +1,12 @@
-"""Sinks: folds, metrics, scored results, identifier lists; incremental ingest."""
+"""Sinks: folds, metrics, scored results, identifier lists."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import gathered, materialize
+from gleaner.session import gathered
 from gleaner.sources import schemas
 
 
@@ -44,13 +43,34 @@ def flatten_nested(df: DataFrame) -> DataFrame:
                        for f in df.schema])
 
 
-def write_scored(df: DataFrame, path: str, fmt: str) -> None:
+# Line breaks and their marker as a percent code. The marker is written first and read back last.
+LINE_CODES = (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"))
+
+
+def escaped_lines(df: DataFrame) -> DataFrame:
+    """String cells without line breaks, so that a line of a CSV file is a row and large files can be split."""
+    def encoded(name: str) -> Column:
+        cell = F.col(f"`{name}`")
+        for raw, code in LINE_CODES:
+            cell = F.replace(cell, F.lit(raw), F.lit(code))
+        return cell.alias(name)
+    return df.select(*[encoded(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def write_csv(df: DataFrame, path: str, line_breaks: str = "quoted") -> None:
+    """CSV with a header; line breaks in cells stand quoted, or ``escaped`` for :func:`readers.read_csv` to split files."""
+    if line_breaks not in ("quoted", "escaped"):
+        raise ValueError(f"unsupported line breaks: {line_breaks}")
+    (escaped_lines(df) if line_breaks == "escaped" else df).write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_scored(df: DataFrame, path: str, fmt: str, line_breaks: str = "quoted") -> None:
     """Scored records as JSON lines, or as CSV with nested columns in JSON."""
     if fmt == "json":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
-        (flatten_nested(df).write.mode("overwrite").option("header", True).option("escape", '"')
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        write_csv(flatten_nested(df), path, line_breaks)
     else:
         raise ValueError(f"unsupported format: {fmt}")
 
@@ -62,35 +82,3 @@ def write_id_lists(df: DataFrame, path: str, id_: str, split: str = "split", lab
                       F.col(id_).cast("bigint").cast("string").alias("value"))
     lists = gathered(lists.where("label is not null and value is not null"), "split", "label")
     lists.write.mode("overwrite").partitionBy("split", "label").text(path)
-
-
-def stored_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def new_records(arrivals: DataFrame, stored: DataFrame | None, id_: str, overwrite: bool = False) -> DataFrame:
-    """Arrivals once per identifier, without those already stored unless they may be replaced."""
-    fresh = arrivals.where(F.col(id_).isNotNull()).dropDuplicates([id_])
-    if overwrite or stored is None:
-        return fresh
-    return fresh.join(stored.select(id_), id_, "left_anti")
-
-
-def ingest(arrivals: DataFrame, path: str, id_: str, overwrite: bool = False) -> None:
-    """Store the new records of a batch; with ``overwrite`` they replace stored ones of the same identifier.
-
-    Replacing rewrites the table from a copy in the shared folder, which outlives a failed rewrite.
-    """
-    stored = stored_or_none(arrivals.sparkSession, path, arrivals.schema)
-    fresh = new_records(arrivals, stored, id_, overwrite)
-    if overwrite and stored is not None:
-        fresh = materialize(fresh, "arrived")
-        kept = stored.join(fresh.select(id_), id_, "left_anti").select(*stored.columns)
-        materialize(kept.unionByName(fresh), "replaced").write.mode("overwrite").parquet(path)
-    else:
-        fresh.write.mode("append").parquet(path)

@@ -6,7 +6,7 @@ from gleaner.functions.fulltext import BODY_SCHEMA
 from gleaner.operators import agreement as A
 from gleaner.operators.scores import ensemble_models
 from gleaner.session import fresh_path
-from gleaner.sources import readers, sinks
+from gleaner.sources import readers, sinks, store
 from registry.base import corpus, fold_metrics, predictions, query, table, texts
 from registry.folds import built, with_folds
 from registry.scoring import scored_records
@@ -23,8 +23,8 @@ def csv_score_input(spark, sf):
     path = fresh_path(spark, "csv")
     out = corpus(spark, sf).select(F.col("id").alias("Unnamed: 0"), F.col("id").alias("id"),
                                    F.col("title").alias("Paper Title"), F.col("abstract").alias("ABSTRACT"))
-    out.write.option("header", True).option("escape", '"').csv(path)
-    read = readers.read_score_csv(spark, path)
+    sinks.write_csv(out, path, "escaped")
+    read = readers.read_score_csv(spark, path, "escaped")
     assert "Unnamed: 0" not in read.columns
     return read.select("id", F.md5("abstract").alias("abstract"), "title", "valid_for_scoring")
 
@@ -197,10 +197,8 @@ def scored_csv(spark, sf):
     """Whole records with nested scores as CSV, fields with quotes and line breaks included."""
     path = fresh_path(spark, "scored-csv")
     rows = scored_records(spark, sf).select("id", "title", "abstract", "score", "positive_folds", "fold_scores")
-    sinks.write_scored(rows, path, "csv")
-    back = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .schema("id bigint, title string, abstract string, score double, positive_folds int, fold_scores string").csv(path))
+    sinks.write_scored(rows, path, "csv", "escaped")
+    back = readers.read_csv(spark, path, "id bigint, title string, abstract string, score double, positive_folds int, fold_scores string", "escaped")
     scores = F.from_json("fold_scores", "array<double>")
     return back.select("id", "title", F.md5("abstract").alias("abstract"), F.round("score", 9).alias("score"), "positive_folds",
                        F.round(F.get(scores, F.lit(0)) + 2 * F.get(scores, F.lit(4)), 9).alias("mixed"))
@@ -223,11 +221,40 @@ def incremental_ingest(spark, sf):
     path = fresh_path(spark, "ingest")
     lines = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 10).cast("int").alias("bucket"), "l_linenumber")
     for wave in (lines.where("l_linenumber <= 3"), lines):
-        sinks.ingest(wave.select("l_orderkey", "bucket"), path, "l_orderkey")
-    return spark.read.parquet(path).groupBy("bucket").agg(
+        store.ingest(wave.select("l_orderkey", "bucket"), path, "l_orderkey", buckets=16)
+    return store.read_store(spark, path).groupBy("bucket").agg(
         F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("ids"))
 
 
+@query("replacing_ingest", """
+SELECT l_orderkey, l_linenumber, l_quantity, wave FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY wave DESC, l_linenumber DESC, l_quantity DESC) AS place FROM (
+    SELECT l_orderkey, l_linenumber, l_quantity, ((l_orderkey + l_linenumber) % 3)::INT AS wave FROM lineitem)) WHERE place = 1""")
+def replacing_ingest(spark, sf):
+    """Order lines arrive in three waves; a later wave replaces an order's line, and in a wave the last line stays."""
+    path = fresh_path(spark, "replaced")
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", ((F.col("l_orderkey") + F.col("l_linenumber")) % 3).cast("int").alias("wave"))
+    for number in range(3):
+        store.ingest(lines.where(F.col("wave") == number), path, "l_orderkey", overwrite=True, buckets=16,
+                     order=F.struct("l_linenumber", "l_quantity"))
+    return store.read_store(spark, path, lines.schema)
+
+
+@query("first_stored_lines", """
+SELECT l_orderkey, l_linenumber, wave FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY wave, l_linenumber) AS place FROM (
+    SELECT l_orderkey, l_linenumber, ((l_orderkey + l_linenumber) % 3)::INT AS wave FROM lineitem)) WHERE place = 1""")
+def first_stored_lines(spark, sf):
+    """The same waves where what is stored stays, and in a wave the first line counts."""
+    path = fresh_path(spark, "first")
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", ((F.col("l_orderkey") + F.col("l_linenumber")) % 3).cast("int").alias("wave"))
+    for number in range(3):
+        store.ingest(lines.where(F.col("wave") == number), path, "l_orderkey", buckets=16, order="l_linenumber")
+    return store.read_store(spark, path, lines.schema)
+
+
 @query("screening_labels", """
 SELECT screened_in, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM (
   SELECT d.doc_id, coalesce(l.quality = 1 OR l.toxic = 1, false) AS screened_in FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -250,8 +277,8 @@ def fold_prediction_scan(spark, sf):
     path = fresh_path(spark, "test preds")
     rows = predictions(spark, sf).select(F.col("id").alias("Unnamed: 0"), "label", "prediction", "score", "fold",
                                          F.lit(None).cast("string").alias("title"))
-    rows.write.option("header", True).csv(path)
-    read = readers.read_fold_predictions(spark, f"{path}/*.csv")
+    sinks.write_csv(rows, path, "escaped")
+    read = readers.read_fold_predictions(spark, f"{path}/*.csv", line_breaks="escaped")
     return read.groupBy("fold").agg(
         F.count("*").alias("n"), F.sum("label").alias("positives"), F.sum("prediction").alias("called"),
         F.round(F.sum("score"), 6).alias("score"), F.count_if(~F.col("source_file").startswith("part-")).alias("unnamed"))
@@ -264,13 +291,18 @@ SELECT criterion, agreements, total, round(CASE WHEN pe < 1 THEN (agreements / t
     SELECT 'quality' AS criterion, quality AS a, 1 - toxic AS b FROM labels WHERE doc_id % 7 <> 0 UNION ALL
     SELECT 'toxicity', toxic, (doc_id % 2)::INT FROM labels) GROUP BY criterion)""")
 def rating_sheet_kappa(spark, sf):
-    """Ratings exported as a sheet with two columns per criterion, read back in long form."""
+    """Ratings exported as sheets with two header rows and two columns per criterion, read back in long form."""
     path = fresh_path(spark, "sheet")
     first = F.when(F.col("doc_id") % 7 != 0, F.col("quality").cast("string")).otherwise(" ")
-    table(spark, sf, "labels").select(
-        "doc_id", first.alias("quality a"), (1 - F.col("toxic")).alias("quality b"), F.col("toxic").alias("toxicity a"),
-        (F.col("doc_id") % 2).alias("toxicity b")).write.option("header", True).csv(path)
-    long = readers.rating_sheet(spark, path, ["quality", "toxicity"], ("a", "b"), "Abstract", start_column=1,
-                                header_rows=0, paper="doc_id")
+    rows = table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("paper"), first.alias("quality a"), (1 - F.col("toxic")).cast("string").alias("quality b"),
+        F.col("toxic").cast("string").alias("toxicity a"), (F.col("doc_id") % 2).cast("string").alias("toxicity b"),
+        (F.col("doc_id") % 3).alias("sheet"), F.lit(2).alias("line"))
+    # Each sheet's first two rows hold names, and would count as ratings if they stayed.
+    heads = spark.range(3).select(F.col("id").alias("sheet"), F.explode(F.array(F.lit(0), F.lit(1))).alias("line")).select(
+        F.concat(F.lit("head "), F.col("sheet").cast("string")).alias("paper"), *[F.lit("1").alias(c) for c in rows.columns[1:5]], "sheet", "line")
+    whole = rows.unionByName(heads).repartition(3, "sheet").sortWithinPartitions("sheet", "line")
+    whole.drop("line").write.option("header", True).partitionBy("sheet").csv(path)
+    long = readers.rating_sheet(spark, path, ["quality", "toxicity"], ("a", "b"), "Abstract", start_column=1, paper="paper", line_breaks="escaped")
     pairs = A.rating_pairs(long, ["phase", "criterion", "paper"], ("a", "b"))
     return A.rater_kappa(pairs, ["criterion"]).select("criterion", "agreements", "total", F.round("kappa", 9).alias("kappa"))
