@@ -37,6 +37,21 @@ def sigmoid_focal(logit: Column, label: Column, alpha: float = FOCAL_ALPHA,
     return loss if alpha < 0 else loss * (alpha * y + (1 - alpha) * (1 - y))
 
 
+def focal_weight(logit: Column, label: Column, alpha: float = FOCAL_ALPHA, gamma: float = FOCAL_GAMMA) -> Column:
+    """Weight under which the cross entropy's gradient at ``logit`` is the focal loss's.
+
+    With p the probability of the right class, the focal gradient is (1 - p)^gamma * (1 - p - gamma * p * ln p), the cross
+    entropy's is 1 - p; the weight is their ratio, times the class's alpha.
+    """
+    y = label.cast("double")
+    right = F.when(y == 1, logit).otherwise(-logit)
+    wrong = sigmoid(-right)
+    # -ln p / (1 - p) tends to 1 where p does, and both lose their digits.
+    steep = F.when(wrong > 1e-12, _softplus(-right) / wrong).otherwise(F.lit(1.0))
+    weight = F.pow(wrong, F.lit(float(gamma))) * (1 + gamma * sigmoid(right) * steep)
+    return weight if alpha < 0 else weight * (alpha * y + (1 - alpha) * (1 - y))
+
+
 def loss(kind: str, logit: Column, label: Column, **params: float) -> Column:
     if kind == "BCE":
         return bce_with_logits(logit, label, **params)

@@ -1,13 +1,15 @@
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import agreement as A
 from gleaner.plans import models as P
 from gleaner.session import fresh_path, materialize, shared_dir
-from gleaner.sources import readers, sinks
-from gleaner.streaming.scoring import arrivals, ingest_stream, progress_rows, score_stream
+from gleaner.sources import readers, sinks, store
+from gleaner.streaming.scoring import arrivals, ingest_stream, progress_rows, score_stream, state_rows, store_stream
 
 
 def write(path, text):
@@ -98,21 +100,58 @@ def test_rating_sheet(spark, tmp_path):
     assert both.count() == 48
 
 
+def stored_files(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
 def test_ingest_replaces_stored_records(spark):
     path = fresh_path(spark, "replace")
     for rows in ([(1, "a"), (2, "b")], [(1, "new"), (3, "c")]):
-        sinks.ingest(spark.createDataFrame(rows, "id long, v string"), path, "id", overwrite=True)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "b"), (3, "c")]
+        store.ingest(spark.createDataFrame(rows, "id long, v string"), path, "id", overwrite=True)
+    assert sorted(tuple(r) for r in store.read_store(spark, path).collect()) == [(1, "new"), (2, "b"), (3, "c")]
+
+
+def test_replacing_leaves_other_buckets_as_they_are(spark):
+    path = fresh_path(spark, "partly")
+    schema = "id long, v string"
+    store.ingest(spark.range(400).select("id", F.lit("old").alias("v")), path, "id", buckets=16)
+    before = stored_files(path)
+    wave = spark.createDataFrame([(7, "new"), (7, "newer"), (1000, "new"), (None, "lost")], schema)
+    touched = {f"_bucket={r[0]}" for r in wave.where("id is not null").select(store.bucket_of("id", 16)).distinct().collect()}
+    store.ingest(wave, path, "id", overwrite=True, order="v")
+    after = stored_files(path)
+    assert all(after.get(f) == t for f, t in before.items() if not any(b + os.sep in f for b in touched))
+    assert not any(f in after for f in before if any(b + os.sep in f for b in touched))
+    held = {r["id"]: r["v"] for r in store.read_store(spark, path).collect()}
+    assert len(held) == 401 and held[7] == "newer" and held[1000] == "new" and set(held.values()) == {"old", "new", "newer"}
+    with pytest.raises(ValueError, match="16 buckets"):
+        store.ingest(wave, path, "id", buckets=4)
+
+
+def test_ingest_reads_the_buckets_of_the_batch_only(spark):
+    path = fresh_path(spark, "pruned")
+    store.ingest(spark.range(400), path, "id", buckets=16)
+    one = store.read_store(spark, path, ids=[5], id_="id")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan or "PartitionFilters: [isnotnull(_bucket" in plan
+    assert [r["id"] for r in one.collect()] == [5]
+
+
+def test_repeats_of_a_batch_have_a_stated_order(spark):
+    rows = [(1, 3, "c"), (1, 1, "a"), (1, None, "n"), (2, 5, "x"), (2, 5, "y"), (None, 9, "z")]
+    df = spark.createDataFrame(rows, "id long, at int, v string")
+    latest = {tuple(sorted((r["id"], r["v"]) for r in store.one_per_id(df.repartition(n), "id", "at").collect())) for n in (1, 2, 5)}
+    first = {r["id"]: r["v"] for r in store.one_per_id(df, "id", "at", latest=False).collect()}
+    assert len(latest) == 1 and dict(next(iter(latest)))[1] == "c" and first[1] == "n"
 
 
 def test_incremental_ingest(spark):
     path = fresh_path(spark, "stored")
     batch = spark.createDataFrame([(1,), (1,), (2,), (None,)], "PMID long")
-    sinks.ingest(batch, path, "PMID")
-    sinks.ingest(spark.createDataFrame([(2,), (3,)], "PMID long"), path, "PMID")
-    assert sorted(r["PMID"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
-    replaced = sinks.new_records(batch, spark.read.parquet(path), "PMID", overwrite=True)
-    assert sorted(r["PMID"] for r in replaced.collect()) == [1, 2]
+    store.ingest(batch, path, "PMID")
+    store.ingest(spark.createDataFrame([(2,), (3,)], "PMID long"), path, "PMID")
+    store.ingest(batch.where("PMID > 9"), path, "PMID")
+    assert sorted(r["PMID"] for r in store.read_store(spark, path).collect()) == [1, 2, 3]
 
 
 def test_sinks(spark):
@@ -216,9 +255,16 @@ def test_vocabulary_is_the_exact_top(spark):
 
 
 def test_length_batches_keep_every_row(spark):
-    df = spark.createDataFrame([(i, "t" * (i % 3), "a" * (i % 17)) for i in range(200)], "id long, title string, abstract string")
-    out = P.length_batched(df, lambda t, a: [float(len(x) * 100 + len(y)) for x, y in zip(t, a)], "title", "abstract", "id", 7)
-    assert {r["id"]: r["score"] for r in out.collect()} == {i: float(i % 3 * 100 + i % 17) for i in range(200)}
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "t" * (i % 3), "a\n" * (i % 17)) for i in range(200)], "id long, title string, abstract string")
+    weights = [[0.1, 0.2, -0.03, 0.5], [-1.0, 0.0, 0.01, 0.0]]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    want = {}
+    for r in df.collect():
+        x = [1, len(r["title"] or ""), len(r["abstract"]), r["abstract"].count("\n")]
+        want[r["id"]] = float(np.mean([sig(np.dot(w, x)) for w in weights]))
+    for batch in (1, 7, 1000):  # the same scores in any batching
+        out = P.length_batched(df, P.linear_ensemble(weights), "title", "abstract", "id", batch)
+        assert {r["id"]: r["score"] for r in out.collect()} == pytest.approx(want, abs=1e-12)
 
 
 def test_stream_equals_batch(spark):
@@ -233,8 +279,50 @@ def test_stream_equals_batch(spark):
     query.awaitTermination()
     assert sum(n for _, n in progress_rows(query)) == 40
     assert sorted(map(tuple, spark.read.parquet(sink).collect())) == sorted(map(tuple, scorer(df).collect()))
-    ingest_stream(arrivals(spark, inbox, df.schema, 1), stored, "user", state2).awaitTermination()
+
+
+def test_stream_state_passes_each_identifier_once(spark):
+    inbox, stored, state = (fresh_path(spark, n) for n in ("in", "stored", "st"))
+    df = spark.range(40).select("id", F.when(F.col("id") != 3, F.col("id") % 10).alias("user"))
+    df.repartition(4, "id").write.parquet(inbox)
+    query = ingest_stream(arrivals(spark, inbox, df.schema, 1), stored, "user", state)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert len(progress_rows(query)) >= 4 and state_rows(query)[-1][1] == 10
+    # One source and the state; the stored table is not read.
+    assert plan.count("FileScan") == 1 and stored not in plan and "StreamingDeduplicate" in plan
     assert sorted(r["user"] for r in spark.read.parquet(stored).collect()) == list(range(10))
-    # The same files again: the checkpoint knows them, and so does the stored table.
-    ingest_stream(arrivals(spark, inbox, df.schema, 1), stored, "user", fresh_path(spark, "st3")).awaitTermination()
-    assert spark.read.parquet(stored).count() == 10
+    # More files, the same checkpoint: known users stay out, a new one gets in.
+    spark.createDataFrame([(50, 4), (51, 77), (52, 77)], df.schema).write.mode("append").parquet(inbox)
+    ingest_stream(arrivals(spark, inbox, df.schema, 1), stored, "user", state).awaitTermination()
+    assert sorted(r["user"] for r in spark.read.parquet(stored).collect()) == [*range(10), 77]
+    # Nothing new: nothing is added.
+    ingest_stream(arrivals(spark, inbox, df.schema, 1), stored, "user", state).awaitTermination()
+    assert spark.read.parquet(stored).count() == 11
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_stream_state_is_bounded_by_a_watermark(spark):
+    inbox, stored, state = (fresh_path(spark, n) for n in ("in", "stored", "st"))
+    schema = "user long, at timestamp"
+    chunk = lambda rows: spark.sql("SELECT * FROM VALUES " + ", ".join(f"(CAST({u} AS BIGINT), TIMESTAMP '{t}')" for u, t in rows) + " AS t(user, at)")
+    kept = []
+    for rows in ([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00")], [(2, "2024-01-03 00:00:00")], [(3, "2024-01-03 00:00:01")],
+                 [(1, "2024-01-03 12:00:00"), (2, "2024-01-03 00:05:00")]):
+        chunk(rows).coalesce(1).write.mode("append").parquet(inbox)
+        query = ingest_stream(arrivals(spark, inbox, spark.createDataFrame([], schema).schema, 1), stored, "user", state, "at", "1 hour")
+        query.awaitTermination()
+        kept.append(sorted(r["user"] for r in spark.read.parquet(stored).collect()))
+    # User 1 was forgotten after an hour and counts as new; user 2 is still known.
+    assert kept[0] == [1] and kept[-1] == [1, 1, 2, 3] and max(n for _, n in state_rows(query)) <= 3
+
+
+def test_stream_into_a_store_that_others_write(spark):
+    inbox, stored = fresh_path(spark, "in"), fresh_path(spark, "stored")
+    df = spark.range(40).select("id", (F.col("id") % 10).alias("user"))
+    df.repartition(4, "id").write.parquet(inbox)
+    store.ingest(spark.createDataFrame([(100, 4)], df.schema), stored, "user", buckets=4)
+    for n in range(2):  # the second time without the first's checkpoint
+        store_stream(arrivals(spark, inbox, df.schema, 1), stored, "user", fresh_path(spark, f"st{n}"), order="id").awaitTermination()
+    held = {r["user"]: r["id"] for r in store.read_store(spark, stored).collect()}
+    assert sorted(held) == list(range(10)) and held[4] == 100
