@@ -83,10 +83,12 @@ def _buckets(docs: DataFrame, rows_per_bucket: int, most: int) -> DataFrame:
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
     docs = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
-    return Bucketizer(splits=splits, inputCol="__key", outputCol="bucket", handleInvalid="keep").transform(docs).drop("__key")
+    docs = Bucketizer(splits=splits, inputCol="__key", outputCol="bucket", handleInvalid="keep").transform(docs).drop("__key")
+    # As a double the bucket would be normalised in windows and joins, and texts shuffled once more for that.
+    return docs.withColumn("bucket", F.col("bucket").cast("int"))
 
 
-def edited_fingerprints(docs: DataFrame, rows_per_bucket: int = 500, most_buckets: int = 4096) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, rows_per_bucket: int = 500, most_buckets: int = 1 << 16) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text replaces the last quarter of a text's code points (rounded down) by as many from
