@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -127,7 +128,7 @@ def word_spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def word_codes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit code per word from all its bytes."""
+    """A 64-bit code per word from all its bytes; words longer than ``POWERS`` are hashed by themselves."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
@@ -135,10 +136,14 @@ def word_codes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     inside = np.arange(total) - np.repeat(first, lengths)
     at = inside + np.repeat(starts, lengths)
-    mixed = (buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[inside % 64]
+    mixed = (buffer[at].astype(np.uint64) + np.uint64(1)) * POWERS[inside % len(POWERS)]
     codes = np.add.reduceat(mixed, first) ^ (lengths.astype(np.uint64) << np.uint64(40))
     codes ^= codes >> np.uint64(29)
-    return codes * np.uint64(0xBF58476D1CE4E5B9)
+    codes *= np.uint64(0xBF58476D1CE4E5B9)
+    for i in np.flatnonzero(lengths > len(POWERS)).tolist():
+        digest = hashlib.blake2b(buffer[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        codes[i] = np.uint64(int.from_bytes(digest, "little"))
+    return codes
 
 
 def connected(edges: DataFrame) -> DataFrame:
