@@ -20,9 +20,10 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import slices, texts
+from gleaner.llm.common import columns_of, map_rows, slices, texts
 
 TERMS = re.compile(r"\w+")
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
@@ -234,11 +235,13 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6
     ``share``: of a segment's own score that a passage must reach. ``overlap``: of the trigrams of the
     question and of the answer that must stand around the passage. Null and empty texts have no passage
     and no item; null or empty items match nothing; equal items are all reported; rows are neither added nor
-    dropped. The index goes to every task, so items are taken in groups of ``group_bytes`` of text, each group
+    dropped, and a column with the name of a result gives way to it. The index goes to every task, so items are taken in groups of ``group_bytes`` of text, each group
     a further pass in the same stage; a single item is held whole.
     """
     spark = docs.sparkSession
     names = [prefix + f.name for f in FIELDS]
+    made = {n.lower() for n in names}
+    docs = docs.select(*[c for c, n in zip(columns_of(docs), docs.columns, strict=True) if n.lower() not in made])
     schema = T.StructType(docs.schema.fields + [T.StructField(n, f.dataType) for n, f in zip(names, FIELDS, strict=True)])
     groups: list[list[tuple[int, str]]] = [[]]
     size = 0
@@ -247,7 +250,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6
 
     def pass_over(frame: DataFrame, group, more: bool) -> DataFrame:
         index = spark.sparkContext.broadcast(Index(group, share))
-        return frame.mapInArrow(lambda batches: _annotate(batches, index.value, names, overlap, more), schema)
+        return map_rows(frame, lambda batches: _annotate(batches, index.value, names, overlap, more), schema)
 
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         text = row["text"] or ""
@@ -277,5 +280,8 @@ def _annotate(batches: Iterator[pa.RecordBatch], index: Index, names: list[str],
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents without a verified test item."""
-    marked = with_contamination(docs, benchmark, prefix="__bm25_", **options)
-    return marked.where("NOT __bm25_contaminated").select(*docs.columns)
+    prefix = "__bm25_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    marked = with_contamination(docs, benchmark, prefix=prefix, **options)
+    return marked.where(~F.col(f"{prefix}contaminated")).select(*columns_of(docs))

@@ -14,6 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.session import materialize
 
@@ -46,6 +47,28 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, whatever stands in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: it cannot take dots and backticks, so such columns go under a number."""
+    odd = {c: f"__column_{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    if not odd:
+        return df.mapInArrow(run, schema)
+    plain = T.StructType([T.StructField(odd.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+    return df.toDF(*[odd.get(c, c) for c in df.columns]).mapInArrow(run, plain).toDF(*schema.names)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

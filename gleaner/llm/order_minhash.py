@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import column, connected, raw_texts, slices, text_or_empty, word_codes, word_spans
-from gleaner.session import materialize
+from gleaner.llm.common import column, columns_of, connected, free_name, raw_texts, slices, text_or_empty, word_codes, word_spans
+from gleaner.session import fresh_path, materialize
 
 SHINGLE = 5
 #: (hash functions, labels kept) of the sketches: of all texts, and of texts of at most SHORT shingles besides.
@@ -35,6 +35,8 @@ ODD = np.random.default_rng(20).integers(1, 1 << 63, size=64, dtype=np.uint64) *
 PIECE = 1 << 14
 #: Bits of a label that name its bin in the table of frequencies, which is bounded by them.
 BIN_BITS = 20
+#: Pairs of a text that one copy of it is sent to.
+PER_HEAD = 128
 #: Members of a label that all its members meet before those still apart meet each other.
 FIRST = 8
 
@@ -154,10 +156,17 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose texts align to ``least`` or more."""
+    """Pairs (a, b) whose texts align to ``least`` or more.
+
+    ``rows`` is stored in buckets of ``row``, so texts that no pair asks for stay where they are. The text of b goes along with
+    its pair; the text of a goes once to every ``PER_HEAD`` of its pairs, which also spreads the pairs of a common a.
+    """
     left = rows.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     right = rows.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_HEAD).cast("int").alias("parts"))
+    heads = left.join(parts, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    met = dealt.join(right, "b").join(heads, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a", 2 << 20), "text_b", 2 << 20):
@@ -174,6 +183,16 @@ def _verify(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(check, "a long, b long")
 
 
+def _bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` stored in buckets of ``key`` in the shared folder: a join on the key then moves the other side only."""
+    spark = rows.sparkSession
+    path = fresh_path(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def _levels(rows: DataFrame) -> np.ndarray:
     """Magnitude (log2) of the number of labels of ``rows`` in each bin; it orders labels and decides nothing else."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +270,9 @@ def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def _classes(docs: DataFrame, least: float) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = materialize(source.mapInArrow(_sketched, "doc_id long, text string, digest binary, n long, keys array<long>")
-                       .select(F.monotonically_increasing_id().alias("row"), "*"), "omh-rows")
+    sketched = materialize(source.mapInArrow(_sketched, "doc_id long, text string, digest binary, n long, keys array<long>")
+                           .select(F.monotonically_increasing_id().alias("row"), "*"), "omh-rows")
+    rows = sketched.drop("text")
     copies = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last"))
     copies = materialize(rows.select("row", "digest", "n").where("n > 0").join(copies, "digest").select("row", "first", "n"), "omh-copies")
     firsts = copies.where("row = first").select("row")
@@ -261,8 +281,11 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     keyed = rows.join(firsts, "row", "left_semi").select("row", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("row").alias("head"), F.max("row").alias("tail")).where("head < tail")
     members = materialize(keyed.join(shared.select("key", "head"), "key").select("key", "row", "head", "n"), "omh-members")
+    # Only texts that share a sketch with another are ever compared; they are dealt into buckets once.
+    texts = sketched.select("row", "text").join(members.select("row").distinct(), "row", "left_semi")
+    texts = _bucketed(texts, "row", "omh-texts")
     stars = materialize(members.where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct(), "omh-stars")
-    linked = materialize(_verify(stars, rows, least), "omh-links")
+    linked = materialize(_verify(stars, texts, least), "omh-links")
     component = materialize(connected(linked), "omh-components")
 
     # Members of a sketch left in different components meet again on their rarest labels, so that no link is lost.
@@ -270,18 +293,18 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         "key", "row", "n", F.coalesce("component", "row").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     apart = materialize(placed.join(mixed, "key", "left_semi").select("row", "n", "component").distinct(), "omh-apart")
-    shared = _shared_rarest(apart, rows, least)
+    shared = _shared_rarest(apart, texts, least)
     # First with a few members of each label, others from label to label; what they link need not meet again.
     heads = shared.groupBy("label").agg(F.array_distinct(F.array(*[F.min_by(
         F.struct("row", "n", "component", "at"), F.xxhash64(F.lit(seed), "label", "row")) for seed in range(FIRST)])).alias("heads"))
     heads = materialize(_alike(shared, heads.select("label", F.inline("heads")), least).join(stars, ["a", "b"], "left_anti"), "omh-heads")
-    linked = materialize(linked.unionByName(_verify(heads, rows, least)), "omh-links")
+    linked = materialize(linked.unionByName(_verify(heads, texts, least)), "omh-links")
     component = materialize(connected(linked), "omh-components")
     shared = shared.drop("component").join(component.withColumnRenamed("vertex", "row"), "row", "left").withColumn(
         "component", F.coalesce("component", "row"))
     shared = materialize(_of_mixed_labels(shared), "omh-shared")
     pairs = materialize(_alike(shared, shared, least).join(stars.unionByName(heads), ["a", "b"], "left_anti"), "omh-pairs")
-    more = materialize(_verify(pairs, rows, least), "omh-more")
+    more = materialize(_verify(pairs, texts, least), "omh-more")
     final = component if more.isEmpty() else materialize(connected(linked.unionByName(more)), "omh-final")
     # Component of each row, then its least identifier.
     told = rows.select("row", "doc_id").join(copies.select("row", "first"), "row", "left")
@@ -294,6 +317,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """One document of each class with all its columns: the first in the table's order."""
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "omh-input")
-    dropped = _classes(numbered.select(F.col("__row").alias("doc_id"), "text"), least).where("NOT kept").select(F.col("doc_id").alias("__row"))
-    return numbered.join(dropped, "__row", "left_anti").drop("__row")
+    row = free_name(docs, "__row")
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias(row), *columns_of(docs)), "omh-input")
+    dropped = _classes(numbered.select(F.col(row).alias("doc_id"), "text"), least).where("NOT kept").select(F.col("doc_id").alias(row))
+    return numbered.join(dropped, row, "left_anti").drop(row)

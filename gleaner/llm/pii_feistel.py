@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_or_empty
+from gleaner.llm.common import columns_of, free_name, text_or_empty
 
 ROUNDS = 8
 #: Characters that are permuted within their own class; all others stay in place.
@@ -207,14 +207,14 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | No
         raise ValueError(f"column exists already: {count}")
     whole = text_or_empty(text)
     found = F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))
-    names = docs.columns
-    held = docs.select(*[F.col(f"`{c}`") for c in names], found.alias("__found"))
-    held = held.select("*", F.transform("__found", lambda v: pseudonym(v, key)).alias("__new"))
+    names, old, new = docs.columns, free_name(docs, "__found"), free_name(docs, "__new")
+    held = docs.select(*columns_of(docs), found.alias(old))
+    held = held.select("*", F.transform(old, lambda v: pseudonym(v, key)).alias(new))
     gaps = F.split(F.col(f"`{text}`"), ANY, -1)
-    pieces = F.transform(F.arrays_zip(gaps.alias("gap"), F.col("__found").alias("old"), F.col("__new").alias("new")),
+    pieces = F.transform(F.arrays_zip(gaps.alias("gap"), F.col(old).alias("old"), F.col(new).alias("new")),
                          lambda z: F.concat(z["gap"], F.coalesce(z["new"], z["old"], F.lit(""))))
-    changed = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(F.col(f"`{text}`"))
+    changed = F.when(F.size(old) > 0, F.array_join(pieces, "")).otherwise(F.col(f"`{text}`"))
     out = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in names]
     if count:
-        out.append(F.size(F.filter("__new", lambda x: x.isNotNull())).cast("long").alias(count))
+        out.append(F.size(F.filter(new, lambda x: x.isNotNull())).cast("long").alias(count))
     return held.select(*out)

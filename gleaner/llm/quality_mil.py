@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gleaner.llm.common import SPACE, column, labelled_sample, raw_texts, slices, word_codes, word_spans
+from gleaner.llm.common import SPACE, column, columns_of, labelled_sample, map_rows, raw_texts, slices, word_codes, word_spans
 from gleaner.session import materialize
 
 PASSAGE_WORDS, BINS = 64, 32
@@ -194,7 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 
 def with_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text, 0 to 1; null text counts as empty. Rows and columns stay."""
+    """``docs`` with the score of each whole text, 0 to 1; null text counts as empty.
+
+    Rows stay, repeated ones too, and an empty table stays empty. Columns stay; a column called ``name`` gives way to the score.
+    """
+    docs = docs.select(*[c for c, n in zip(columns_of(docs), docs.columns, strict=True) if n.lower() != name.lower()])
     held = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
     schema = T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())])
 
@@ -204,4 +208,4 @@ def with_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFram
             x, counts = encode(raw_texts(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.forward(x, counts)["score"])], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(score, schema)
+    return map_rows(docs, score, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gleaner.llm.common import column, labelled_sample, raw_texts, slices, word_codes
+from gleaner.llm.common import column, labelled_sample, map_rows, raw_texts, slices, word_codes
 from gleaner.session import materialize
 
 CHAIN = 64
@@ -233,7 +233,7 @@ def with_toxicity(docs: DataFrame, field: Field, name: str = "score", spans: str
                 names.append(spans)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(tag, T.StructType(docs.schema.fields + extra))
+    return map_rows(docs, tag, T.StructType(docs.schema.fields + extra))
 
 
 def offending(raws, starts, ends, doc, offsets, p, least) -> list[list[dict]]:

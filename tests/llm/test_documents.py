@@ -72,7 +72,7 @@ def test_language_model_probabilities_add_up_to_one():
     for context in (97, 99, 5):
         asked = np.zeros(len(known) + 1, dtype=pitman_yor.KEY)
         asked["word"], asked["context"] = np.append(known, 10 ** 9), context
-        out = pitman_yor._replies({"slice": [-1, 0], "bucket": [0, 0], "keys": [keys.tobytes(), asked.tobytes()],
+        out = pitman_yor._replies({"slice": [-1, 0], "bucket": [0, 0], "keys": [keys.tobytes(), pitman_yor.pack_keys(asked)],
                                    "counts": [counts.astype("<i8").tobytes(), b""]}, totals, 2).to_pydict()
         assert abs((10.0 ** np.frombuffer(out["chance"][0], dtype="<f4").astype(float)).sum() - 1) < 1e-5
 
