@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and
 rereads for the next one. All but the last keep the columns of ``documents``; the last gives the mix, slot by slot. Null texts count as empty in
-decisions and stay null in the output; repeated rows are documents of their own; empty tables pass through.
+decisions and stay null in the output; repeated rows are documents of their own; empty tables pass through; further
+columns, whatever their names, stay as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import bm25_wand, mixing, order_minhash, pii_feistel, quality_mil
-from gleaner.llm.common import ship, table
-from gleaner.session import materialize
+from gleaner.llm.common import columns_of, free_name, ship, table
+from gleaner.session import materialize, scratch
 
 #: Key of the pseudonyms. A production run sets its own secret in the session under this name.
 PII_KEY_CONF, PII_KEY = "spark.gleaner.pii.key", "gleaner-demonstration-key"
@@ -23,7 +24,8 @@ LEAST_QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention classifier, trained on the labelled ones among them, does not reject."""
     model = quality_mil.fit(docs, table(ship(spark), sf_dir, "labels"))
-    return quality_mil.with_quality(docs, model, "__quality").where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
+    score = free_name(docs, "__quality")
+    return quality_mil.with_quality(docs, model, score).where(F.col(score) >= LEAST_QUALITY).select(*columns_of(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values replaced; ``n_chars`` follows a changed text."""
     key = spark.conf.get(PII_KEY_CONF, PII_KEY)
-    out = pii_feistel.pseudonymised(docs, key, count="__values")
-    return out.withColumn("n_chars", F.when(F.col("__values") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    count = free_name(docs, "__values")
+    out = pii_feistel.pseudonymised(docs, key, count=count)
+    return out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns_of(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        # A stage's own tables go once its output is written.
+        with scratch(spark, keep=f"stage-{name}-"):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
