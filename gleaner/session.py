@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +51,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_WORK: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    for open_ in _WORK:
+        open_.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Work whose tables are deleted at its end, but for those whose name begins with ``keep``.
+
+    What stays must be stored: nothing that is read later may still need a deleted table.
+    """
+    made: list[str] = []
+    _WORK.append(made)
+    try:
+        yield
+    finally:
+        _WORK.remove(made)
+        for path in made:
+            if not path.rsplit("/", 1)[1].startswith(keep):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

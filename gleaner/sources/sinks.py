@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import gathered
+from gleaner.session import fresh_path, gathered
 from gleaner.sources import schemas
 
 
@@ -75,10 +78,31 @@ def write_scored(df: DataFrame, path: str, fmt: str, line_breaks: str = "quoted"
         raise ValueError(f"unsupported format: {fmt}")
 
 
-def write_id_lists(df: DataFrame, path: str, id_: str, split: str = "split", label: str = "label") -> None:
-    """Identifiers as text, one per line, in a folder per split and class."""
+def write_named_csv(df: DataFrame, path: str, name: str) -> None:
+    """One CSV file per value of ``name``, called after it, so that a file's name says what its rows share.
+
+    Rows are written by all tasks into a folder per name; the driver then moves one file per name to its place.
+    """
+    spark = df.sparkSession
+    staged = fresh_path(spark, "named")
+    df.repartition(F.col(name)).write.option("header", True).option("escape", '"').partitionBy(name).csv(staged)
+    jvm = spark._jvm
+    hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop(path))
+    for found in files.globStatus(hadoop(f"{staged}/{name}=*/part-*")):
+        source = found.getPath()
+        called = unquote(source.getParent().getName().split("=", 1)[1])
+        if not files.rename(source, hadoop(f"{path}/{called}.csv")):
+            raise OSError(f"{path}/{called}.csv exists already")
+    files.delete(hadoop(staged), True)
+
+
+def write_id_lists(df: DataFrame, path: str, id_: str, split: str = "split", label: str = "label", cells: Sequence[str] = ()) -> None:
+    """Identifiers as text, one per line, in a folder per split and class, inside a folder for each of ``cells``."""
     named = F.when(F.col(label) == 1, "pos").when(F.col(label) == 0, "neg")
-    lists = df.select(F.col(split).alias("split"), named.alias("label"),
+    lists = df.select(*cells, F.col(split).alias("split"), named.alias("label"),
                       F.col(id_).cast("bigint").cast("string").alias("value"))
-    lists = gathered(lists.where("label is not null and value is not null"), "split", "label")
-    lists.write.mode("overwrite").partitionBy("split", "label").text(path)
+    folders = [*cells, "split", "label"]
+    lists = gathered(lists.where("label is not null and value is not null"), *folders)
+    lists.write.mode("overwrite").partitionBy(*folders).text(path)

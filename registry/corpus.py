@@ -7,6 +7,8 @@ from gleaner.functions import text as X
 from gleaner.operators import columns as N
 from gleaner.operators import dedup as D
 from gleaner.operators import sampling as M
+from gleaner.operators.ordering import ranked
+from gleaner.session import materialize
 from registry.base import SEED, corpus, query, table, texts
 
 # SQL spelling of the word and blank classes used by the library.
@@ -179,8 +181,10 @@ def undersampled_negatives(spark, sf):
 @query("seeded_shuffle", f"""
 SELECT id, position FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id) AS position FROM documents)""")
 def seeded_shuffle(spark, sf):
+    """Positions that the shuffled rows have in their own order: numbers along its sorted partitions."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    return M.seeded_position(M.seeded_shuffle(docs, "id", SEED), "id", SEED)
+    shuffled = materialize(M.seeded_shuffle(docs, "id", SEED).select("id", F.monotonically_increasing_id().alias("place")), "shuffled")
+    return ranked(shuffled, "place", "id", position="position", descending=False).select("id", "position")
 
 
 @query("distinct_values", """

@@ -199,3 +199,15 @@ def named_models(spark, sf):
     return predictions(spark, sf).groupBy(
         m.alias("name"), L.model_family(m).alias("family"), L.model_domain(m).alias("domain"),
         L.compact_model_name(m).alias("short")).agg(F.count("*").alias("n"))
+
+
+@query("short_names", """
+SELECT name, short, count(*) AS n FROM (
+  SELECT CASE model WHEN 'roberta-base' THEN 'FacebookAI/roberta-base' WHEN 'biobert-v1' THEN 'dmis-lab/biobert-v1.1'
+                    WHEN 'bert-base' THEN 'google-bert/bert-base-uncased' ELSE model END AS name, model AS short FROM predictions) GROUP BY ALL""",
+       "predictions")
+def short_names(spark, sf):
+    """Published names of models in their short form; other names stay."""
+    name = (F.when(F.col("model") == "roberta-base", "FacebookAI/roberta-base").when(F.col("model") == "biobert-v1", "dmis-lab/biobert-v1.1")
+            .when(F.col("model") == "bert-base", "google-bert/bert-base-uncased").otherwise(F.col("model")))
+    return predictions(spark, sf).groupBy(name.alias("name")).agg(F.count("*").alias("n")).select("name", L.short_model_name(F.col("name")).alias("short"), "n")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gleaner.functions import labels as L
 from gleaner.functions.fulltext import BODY_SCHEMA
 from gleaner.operators import agreement as A
 from gleaner.operators.scores import ensemble_models
@@ -29,6 +30,16 @@ def csv_score_input(spark, sf):
     return read.select("id", F.md5("abstract").alias("abstract"), "title", "valid_for_scoring")
 
 
+def json_item():
+    """A document as an object, a bare string, a number, or an object with a blank title."""
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    kind = F.col("doc_id") % 10
+    as_object = F.to_json(F.struct(F.col("doc_id").alias("n"), F.col("text").alias("Abstract_Text"), line.alias("Title")))
+    blank_title = F.to_json(F.struct(F.col("text").alias("abstract"), F.lit("  ").alias("title")))
+    as_string = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("s"))), r'^\{"s":|\}$', "")
+    return (F.when(kind == 3, F.lit("12")).when(kind == 5, blank_title).when(kind == 7, as_string).otherwise(as_object))
+
+
 @query("json_score_input", """
 SELECT md5(CASE WHEN doc_id % 10 = 3 THEN NULL ELSE nullif(trim(text, chr(32) || chr(10) || chr(9) || chr(13)), '') END) AS abstract,
        CASE WHEN doc_id % 10 IN (3, 7) OR doc_id % 10 = 5 THEN NULL
@@ -38,19 +49,30 @@ def json_score_input(spark, sf):
     """Objects, bare strings, numbers and blank titles as JSON lines; every item keeps its row."""
     path = fresh_path(spark, "json")
     docs = texts(spark, sf, "documents")
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    kind = F.col("doc_id") % 10
-    as_object = F.to_json(F.struct(F.col("doc_id").alias("n"), F.col("text").alias("Abstract_Text"), line.alias("Title")))
-    blank_title = F.to_json(F.struct(F.col("text").alias("abstract"), F.lit("  ").alias("title")))
-    as_string = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("s"))), r'^\{"s":|\}$', "")
-    item = (F.when(kind == 3, F.lit("12")).when(kind == 5, blank_title).when(kind == 7, as_string).otherwise(as_object))
-    docs.select(item.alias("value")).write.text(path)
+    docs.select(json_item().alias("value")).write.text(path)
     out = readers.read_score_json(spark, path, lines=True)
     return out.select(F.md5("abstract").alias("abstract"), "title", "valid_for_scoring")
 
 
+@query("json_array_input", """
+SELECT md5(CASE WHEN doc_id % 10 = 3 THEN NULL ELSE nullif(trim(text, chr(32) || chr(10) || chr(9) || chr(13)), '') END) AS abstract,
+       CASE WHEN doc_id % 10 IN (3, 7) OR doc_id % 10 = 5 THEN NULL
+            ELSE nullif(trim(split_part(text, chr(10), 1)), '') END AS title,
+       doc_id % 10 NOT IN (3, 5) AS valid_for_scoring, row_number() OVER (PARTITION BY doc_id % 12 ORDER BY doc_id)::INT - 1 AS item FROM documents""")
+def json_array_input(spark, sf):
+    """The same items as arrays, one array per file, in their order."""
+    path = fresh_path(spark, "json-array")
+    docs = texts(spark, sf, "documents")
+    items = docs.groupBy((F.col("doc_id") % 12).alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", json_item().alias("item")))).alias("items"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ", "), F.lit("]"))
+    items.select("file", whole.alias("value")).write.partitionBy("file").text(path)
+    out = readers.read_score_json(spark, f"{path}/file=*")
+    return out.select(F.md5("abstract").alias("abstract"), "title", "valid_for_scoring", "item")
+
+
 @query("xml_articles", """
-SELECT doc_id::VARCHAR AS "PMID", split_part(text, chr(10), 1) AS title, md5(lang || ' ' || source) AS text,
+SELECT doc_id::VARCHAR AS "PMID", split_part(text, chr(10), 1) AS title,
+       md5(trim(regexp_replace(replace(text, chr(13), ''), '<[^>]+>', '', 'g'), chr(32) || chr(10) || chr(9))) AS text,
        CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '10.1/' || doc_id END AS doi,
        CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || ', ' || source END AS "MESH_terms", 'pubmed' AS source, -1 AS labels
 FROM documents""")
@@ -66,7 +88,7 @@ def xml_articles(spark, sf):
     mesh = F.when(F.col("doc_id") % 5 != 0, F.struct(F.array(
         F.struct(F.col("lang").alias("DescriptorName")), F.struct(F.col("source").alias("DescriptorName"))).alias("MeshHeading")))
     article = F.struct(line.alias("ArticleTitle"), F.struct(F.array(
-        F.concat_ws(" ", "lang", "source"), F.lit("second part")).alias("AbstractText")).alias("Abstract"), ids.alias("ELocationID"))
+        "text", F.lit("second part")).alias("AbstractText")).alias("Abstract"), ids.alias("ELocationID"))
     citation = F.struct(F.col("doc_id").cast("string").alias("PMID"), article.alias("Article"), mesh.alias("MeshHeadingList"))
     docs.select(citation.alias("MedlineCitation")).write.format("xml").option("rowTag", "PubmedArticle").option(
         "rootTag", "PubmedArticleSet").save(path)
@@ -107,13 +129,15 @@ def fulltext_flattened(spark, sf):
 
 
 def run_files(spark, sf):
-    """Predictions with the stem of the file an export would give them."""
-    p = predictions(spark, sf)
+    """Prediction files of all models, losses, folds and amounts of negatives, called after them, read back in one scan."""
+    path = fresh_path(spark, "test preds")
     loss = F.when(F.col("run") == 0, "BCE").otherwise("focal")
     title = F.when(F.col("fold") < 3, "_with_title").otherwise("")
     stem = F.concat(F.lit("fold_"), F.col("fold").cast("string"), F.lit("_"), "model", F.lit("_"), loss, title,
                     F.lit("_run-0_opt_neg-"), F.col("added").cast("string"))
-    return p.withColumn("source_file", stem)
+    rows = predictions(spark, sf).select(stem.alias("stem"), "label", "prediction", "score", "fold", F.lit(None).cast("string").alias("title"))
+    sinks.write_named_csv(rows, path, "stem")
+    return readers.read_fold_predictions(spark, f"{path}/fold_*.csv", line_breaks="escaped")
 
 
 @query("run_names_parsed", """
@@ -133,6 +157,15 @@ def available_models(spark, sf):
     return readers.available_models(run_files(spark, sf))
 
 
+@query("abbreviated_runs", """
+SELECT CASE model WHEN 'roberta-base' THEN 'RoBERTa' WHEN 'biobert-v1' THEN 'BioBERT' WHEN 'bert-base' THEN 'Other' ELSE 'BiomedBERT-A' END
+       || CASE WHEN run = 0 THEN ' +BCE' ELSE ' +FL' END || CASE WHEN fold < 3 THEN ' +T' ELSE '' END
+       || CASE WHEN added = 500 THEN ' (N500)' ELSE '' END AS label, count(*) AS n FROM predictions GROUP BY 1""", "predictions")
+def abbreviated_runs(spark, sf):
+    """Short labels of the runs that the files' names stand for."""
+    return run_files(spark, sf).groupBy(L.abbreviated_run(F.col("source_file")).alias("label")).agg(F.count("*").alias("n"))
+
+
 @query("fold_files_pruned", with_folds(
     "SELECT id, labels, is_optional FROM folds WHERE run = 1 AND fold = 2 AND split = 'train'"))
 def fold_files_pruned(spark, sf):
@@ -142,12 +175,11 @@ def fold_files_pruned(spark, sf):
 
 
 @query("identifier_lists", with_folds("""
-SELECT split, CASE labels WHEN 1 THEN 'pos' ELSE 'neg' END AS label, id::VARCHAR AS value FROM folds WHERE run = 0 AND fold = 0"""))
+SELECT run::INT AS run, fold::INT AS fold, split, CASE labels WHEN 1 THEN 'pos' ELSE 'neg' END AS label, id::VARCHAR AS value FROM folds"""))
 def identifier_lists(spark, sf):
     path = fresh_path(spark, "ids")
-    folds = built(spark, sf).where("run = 0 and fold = 0")
-    sinks.write_id_lists(folds, path, "id", label="labels")
-    return spark.read.text(path).select("split", "label", "value")
+    sinks.write_id_lists(built(spark, sf), path, "id", label="labels", cells=["run", "fold"])
+    return spark.read.text(path).select("run", "fold", "split", "label", "value")
 
 
 @query("appended_metrics", """
@@ -205,13 +237,12 @@ def scored_csv(spark, sf):
 
 
 @query("ensemble_prediction_files", """
-SELECT model_name, fold, count(*) AS n, sum(prediction)::BIGINT AS positive FROM (
-  SELECT 'Ensemble' AS model_name, fold, id, (avg(score) > 0.5)::INT AS prediction FROM predictions WHERE added = 500
-  GROUP BY run, fold, id) GROUP BY ALL""", "predictions")
+SELECT model_name, added, fold, count(*) AS n, sum(prediction)::BIGINT AS positive FROM (
+  SELECT 'Ensemble' AS model_name, added, fold, id, (avg(score) > 0.5)::INT AS prediction FROM predictions
+  GROUP BY added, run, fold, id) GROUP BY ALL""", "predictions")
 def ensemble_prediction_files(spark, sf):
-    rows = predictions(spark, sf).where("added = 500")
-    out = ensemble_models(rows, ["run", "fold", "id"], 5).withColumn("model_name", F.lit("Ensemble"))
-    return out.groupBy("model_name", "fold").agg(F.count("*").alias("n"), F.sum("prediction").alias("positive"))
+    out = ensemble_models(predictions(spark, sf), ["added", "run", "fold", "id"], 5).withColumn("model_name", F.lit("Ensemble"))
+    return out.groupBy("model_name", "added", "fold").agg(F.count("*").alias("n"), F.sum("prediction").alias("positive"))
 
 
 @query("incremental_ingest", """

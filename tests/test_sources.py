@@ -326,3 +326,54 @@ def test_stream_into_a_store_that_others_write(spark):
         store_stream(arrivals(spark, inbox, df.schema, 1), stored, "user", fresh_path(spark, f"st{n}"), order="id").awaitTermination()
     held = {r["user"]: r["id"] for r in store.read_store(spark, stored).collect()}
     assert sorted(held) == list(range(10)) and held[4] == 100
+
+
+def tricky_rows():
+    cells = ["plain", 'a "quoted" one', "two\nlines", "cr\rlf\r\n", "100 % %0A %25", "comma, semi;", " padded ", "naïve 東京", "\\back\\slash"]
+    return [(i, cells[i % len(cells)] + str(i), None if i % 7 == 0 else cells[(i * 5) % len(cells)]) for i in range(300)]
+
+
+def test_escaped_csv_is_split_and_comes_back(spark, tmp_path):
+    rows = tricky_rows()
+    df = spark.createDataFrame(rows, "id int, text string, more string")
+    path = str(tmp_path / "csv")
+    sinks.write_csv(df.coalesce(1), path, "escaped")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        back = readers.read_csv(spark, path, line_breaks="escaped")
+        assert back.rdd.getNumPartitions() > 4
+        assert sorted((int(r["id"]), r["text"], r["more"]) for r in back.collect()) == rows
+        typed = readers.read_csv(spark, path, "id int, text string, more string", "escaped")
+        assert sorted(map(tuple, typed.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(ValueError):
+        sinks.write_csv(df, path, "none")
+
+
+def test_header_rows_are_dropped_from_a_split_file(spark, tmp_path):
+    lines = ["id,a1,a2", "names,Ann,Bob", "more names,x,y"] + [f"{i},{i % 2},{i % 3}" for i in range(2000)]
+    for n in range(2):
+        write(tmp_path / f"sheet {n}.csv", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        raw = spark.read.option("header", True).csv(str(tmp_path / "*.csv"))
+        assert raw.rdd.getNumPartitions() > 6
+        long = readers.rating_sheet(spark, str(tmp_path / "*.csv"), ["c"], ("Ann", "Bob"), "p", start_column=1, paper="id", line_breaks="escaped")
+        got = sorted((int(r["paper"]), r["rater"], int(r["rating"])) for r in long.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((i, rater, i % k) for i in range(2000) for rater, k in (("Ann", 2), ("Bob", 3)) for _ in range(2))
+
+
+def test_files_called_after_their_rows(spark, tmp_path):
+    path = str(tmp_path / "test preds")
+    df = spark.createDataFrame([("fold_0_x y_BCE", 1, "a\nb"), ("fold_0_x y_BCE", 2, "c"), ("fold_1_z%_focal", 3, None)], "stem string, n int, t string")
+    sinks.write_named_csv(df, path, "stem")
+    assert sorted(n for n in os.listdir(path) if not n.startswith(".")) == ["fold_0_x y_BCE.csv", "fold_1_z%_focal.csv"]
+    back = readers.read_fold_predictions(spark, f"{path}/fold_*.csv", "n int, t string")
+    assert sorted((r["source_file"], r["n"], r["t"]) for r in back.collect()) == sorted(map(tuple, df.collect()), key=lambda r: r[:2])
+    with pytest.raises(OSError):
+        sinks.write_named_csv(df, path, "stem")
