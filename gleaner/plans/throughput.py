@@ -1,25 +1,25 @@
-"""Throughput of a plan, counted by the plan itself."""
+"""Throughput of a plan: what it stored, by the time that took."""
 
 from __future__ import annotations
 
 import time
-import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import materialize
 
-def timed(df: DataFrame, present: dict[str, str] | None = None, path: str | None = None, fmt: str = "parquet") -> dict[str, float]:
-    """Run a plan and give its records, seconds and records per second.
 
-    Records are counted by counters that ride along with the rows, so nothing runs twice; ``present`` adds, by name,
-    counts of the rows in which a column is not NULL. The result goes to ``path``, or nowhere.
+def timed(df: DataFrame, present: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """Store a plan's result; returns it with its records, seconds and records per second.
+
+    Records are counted in what was stored, so the plan runs once; ``present`` adds, by name, counts of the rows in which a
+    column is not NULL. An observation would count them on the way, but a session that has held one can no longer
+    train models (its manager is caught in their closures and cannot be sent).
     """
-    seen = Observation(f"timed-{uuid.uuid4().hex}")
-    counts = [F.count(F.lit(1)).alias("records"), *[F.count(F.col(c)).alias(name) for name, c in (present or {}).items()]]
-    writer = df.observe(seen, *counts).write.mode("overwrite")
     start = time.perf_counter()
-    writer.format(fmt).save(path) if path else writer.format("noop").save()
+    stored = materialize(df, "timed")
     seconds = time.perf_counter() - start
-    found = {name: int(n) for name, n in seen.get.items()}
-    return {**found, "seconds": round(seconds, 3), "records_per_sec": round(found["records"] / seconds, 1)}
+    counts = [F.count(F.lit(1)).alias("records"), *[F.count(F.col(c)).alias(name) for name, c in (present or {}).items()]]
+    found = {name: int(n) for name, n in stored.agg(*counts).first().asDict().items()}
+    return stored, {**found, "seconds": round(seconds, 3), "records_per_sec": round(found["records"] / seconds, 1)}
