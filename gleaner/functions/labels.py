@@ -59,6 +59,7 @@ def recode_optional(label: Column, sentinel: int = -1) -> Column:
     return F.when(label == sentinel, F.lit(0)).otherwise(label).cast("int")
 
 
+# Levels and names of significance and effect size.
 def significance(p: Column) -> Column:
     return (F.when(p < 0.001, "highly significant").when(p < 0.01, "very significant")
             .when(p < 0.05, "significant").when(p.isNotNull(), "not significant"))
@@ -109,6 +110,7 @@ def model_domain(name: Column) -> Column:
     return _first_contained(name, DOMAINS)
 
 
+# Marks of a short run label.
 def abbreviated_run(name: Column) -> Column:
     """Short label of a run name: family, loss, title flag, added negatives."""
     none = F.lit("")
@@ -119,6 +121,7 @@ def abbreviated_run(name: Column) -> Column:
     return F.concat(model_family(name), loss, title, added)
 
 
+# Parts of names that the compact form replaces.
 def compact_model_name(name: Column) -> Column:
     out = name
     for old, new in (("BiomedNLP-", ""), ("BiomedBERT-abs", "BiomedBERT"), ("-ft", "-FT")):

@@ -1,10 +1,9 @@
 """Declared schemas of the tables the library reads and writes."""
 
-CURATED = "Title string, Abstract string, Keywords string, DOI string"
+# Column names and types of the recorded files.
 OPTIONAL_NEGATIVES = ("title string, text string, PMID string, MESH_terms string, "
                       "doi string, source string, labels int")
 PREDICTIONS = "label int, prediction int, score double, fold int, title string"
-BASELINE_PREDICTIONS = "label int, score int, fold int"
 
 METRIC_COLUMNS = ["f1", "recall", "precision", "accuracy", "roc_auc", "AP", "MCC", "NDCG", "kappa",
                   "TN", "FP", "FN", "TP"]
@@ -13,7 +12,7 @@ METRICS = ("model_name string, loss_type string, fold int, run int, with_title b
            "AP double, MCC double, NDCG double, kappa double, TN bigint, FP bigint, FN bigint, TP bigint, "
            "num_trials int, hpo_metric string")
 
-# One article of a citation export; text content of an element arrives as a string.
+# One article of a citation export; text content of an element arrives as a string.
 ARTICLE_XML = (
     "MedlineCitation struct<PMID:string,"
     "Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<string>>,"

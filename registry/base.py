@@ -17,6 +17,7 @@ from gleaner.session import spread
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Names of the compared models.
 MODELS = ["biobert-v1", "BiomedBERT-abs", "BiomedBERT-abs-ft", "roberta-base", "bert-base"]
 N_FOLDS = 5
 SEED = 42
