@@ -56,9 +56,11 @@ def id_key(value: Column) -> Column:
 
 
 def match_key(value: Column, kind: str) -> Column:
-    """Join key for a column of ``kind`` ``title``, ``id`` or ``raw``."""
+    """Join key for a column of ``kind`` ``title``, ``doi``, ``id`` or ``raw``."""
     if kind == "title":
         return F.nullif(normalize_title(value), F.lit(""))
+    if kind == "doi":
+        return F.nullif(normalize_doi(value), F.lit(""))
     if kind == "id":
         return id_key(value)
     if kind == "raw":

@@ -140,6 +140,12 @@ def price_boxes(spark, sf):
     return out.select("o_orderpriority", "n", "outliers", *[F.round(c, 6).alias(c) for c in BOX])
 
 
+def phi_sql(x):
+    """The normal distribution function, by Simpson's rule from 0."""
+    return (f"(0.5 + ({x}) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: "
+            f"(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(({x}) * i / 400, 2) / 2))))")
+
+
 RANKS = """ranks AS (
     SELECT added, run, fold, model, value, rank() OVER w + (count(*) OVER t - 1) / 2.0::DOUBLE AS rank_up, count(*) OVER t AS ties,
            rank() OVER d + (count(*) OVER t - 1) / 2.0::DOUBLE AS rank_down
@@ -169,6 +175,26 @@ def friedman_test(spark, sf):
                       L.significance(F.col("p_value")).alias("verdict"))
 
 
+CONDITIONS = """conditions AS (
+  SELECT model, fold, run * 2 + (added > 0)::INT AS condition, accuracy AS value FROM fold_metrics),
+placed AS (
+  SELECT condition, value, rank() OVER w + (count(*) OVER t - 1) / 2.0::DOUBLE AS up, count(*) OVER t AS ties FROM conditions
+  WINDOW w AS (PARTITION BY model, fold ORDER BY value), t AS (PARTITION BY model, fold, value)),
+tested AS (
+  SELECT k, n, (12.0::DOUBLE / (n * k * (k + 1)) * squares - 3 * n * (k + 1)) / (1 - tied / (n * k * (k * k - 1))::DOUBLE) AS stat FROM (
+    SELECT count(*) AS k, max(blocks) AS n, sum(s * s) AS squares, sum(tied) AS tied FROM (
+      SELECT condition, sum(up) AS s, count(*) AS blocks, sum(ties * ties - 1) AS tied FROM placed GROUP BY condition)))"""
+
+
+@query("friedman_conditions", with_metrics(f"""
+SELECT k, n, round(stat, 6) AS statistic, round(2 * (1 - {phi_sql('sqrt(stat)')}) + sqrt(2 * stat / pi()) * exp(-stat / 2), 8) AS p_value FROM tested""", CONDITIONS))
+def friedman_conditions(spark, sf):
+    """Four conditions over all models and folds: an odd number of degrees of freedom."""
+    rows = fold_metrics(spark, sf).withColumn("condition", F.col("run") * 2 + (F.col("added") > 0).cast("int"))
+    out = R.friedman(rows, ["model", "fold"], "condition", "accuracy")
+    return out.select("k", "n", F.round("statistic", 6).alias("statistic"), F.round("p_value", 8).alias("p_value"))
+
+
 @query("average_ranks", with_metrics("""
 SELECT model, round(avg(rank_down), 6) AS avg_rank, round(avg(value), 6) AS mean_value, count(*) AS blocks FROM ranks GROUP BY model""", RANKS))
 def average_ranks(spark, sf):
@@ -176,12 +202,6 @@ def average_ranks(spark, sf):
     return r6(out, ["model", "blocks"], ["avg_rank", "mean_value"])
 
 
-def phi_sql(x):
-    """The normal distribution function, by Simpson's rule from 0."""
-    return (f"(0.5 + ({x}) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: "
-            f"(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(({x}) * i / 400, 2) / 2))))")
-
-
 # Fixed value: studentized range at .05 for 5 groups over the root of 2, as published (2.728).
 PAIRS_SQL = """pairs AS (
 SELECT a.model AS model_a, b.model AS model_b, abs(a.r - b.r) AS d, abs(a.r - b.r) / sqrt(30 / (6.0 * a.n)) AS q, 2.728 * sqrt(30 / (6.0 * a.n)) AS cd

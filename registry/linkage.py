@@ -54,6 +54,22 @@ def labelled_to_ranked_match(spark, sf):
                                      F.round("score", 9).alias("score"), "score_rank")
 
 
+@query("labelled_to_ranked_doi", f"""
+WITH {CTES['scored']}, {CTES['ensembled']}, {RANKED},
+best AS (SELECT id // 2 AS n, id, score_rank FROM ranked QUALIFY row_number() OVER (PARTITION BY id // 2 ORDER BY score_rank, id) = 1)
+SELECT page_id, '10.1/a' || n AS match_key, id, score_rank FROM (SELECT page_id, page_id * 3 AS n FROM pages WHERE page_id % 4 <> 2) JOIN best USING (n)""")
+def labelled_to_ranked_doi(spark, sf):
+    """Pages and documents meet on identifiers in several spellings; of documents that share one the best ranked stays."""
+    doi = F.concat(F.lit("10.1/A"), (F.col("page_id") * 3).cast("string"))
+    kind = F.col("page_id") % 4
+    spelt = (F.when(kind == 0, F.concat(F.lit("  HTTPS://DOI.ORG/"), doi)).when(kind == 1, F.concat(F.lit("doi:"), F.lower(doi)))
+             .when(kind == 3, F.concat(doi, F.lit(" \n"))))
+    pages = table(spark, sf, "pages").select("page_id", spelt.alias("doi"))
+    documents = ranked_documents(spark, sf).withColumn("doi", F.concat(F.lit("10.1/a"), F.expr("id div 2").cast("string")))
+    out = J.match_ranked(pages, documents, "doi", "doi", "score_rank", None, "id")
+    return out.select("page_id", "match_key", "id", "score_rank")
+
+
 @query("first_values_per_title", f"""
 SELECT title, min(CASE WHEN doi IS NOT NULL THEN id END) AS doi_id, arg_min(doi, CASE WHEN doi IS NOT NULL THEN id END) AS doi,
        arg_min("Keywords", id) AS "Keywords" FROM corpus WHERE title IS NOT NULL GROUP BY title""", "corpus")
