@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import column, columns_of, connected, free_name, raw_texts, slices, text_or_empty, word_codes, word_spans
-from gleaner.session import fresh_path, materialize
+from gleaner.session import fresh_path, materialize, scratch
 
 SHINGLE = 5
 #: (hash functions, labels kept) of the sketches: of all texts, and of texts of at most SHORT shingles besides.
@@ -316,8 +316,13 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """One document of each class with all its columns: the first in the table's order."""
+    """One document of each class with all its columns: the first in the table's order.
+
+    The numbered documents and the numbers to drop are stored; the tables that led to them are deleted.
+    """
     row = free_name(docs, "__row")
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias(row), *columns_of(docs)), "omh-input")
-    dropped = _classes(numbered.select(F.col(row).alias("doc_id"), "text"), least).where("NOT kept").select(F.col("doc_id").alias(row))
+    with scratch(docs.sparkSession, keep="omh-kept-"):
+        numbered = materialize(docs.select(F.monotonically_increasing_id().alias(row), *columns_of(docs)), "omh-kept-input")
+        dropped = _classes(numbered.select(F.col(row).alias("doc_id"), "text"), least).where("NOT kept")
+        dropped = materialize(dropped.select(F.col("doc_id").alias(row)), "omh-kept-dropped")
     return numbered.join(dropped, row, "left_anti").drop(row)
