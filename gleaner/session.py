@@ -73,7 +73,7 @@ def scratch(spark: SparkSession, keep: str) -> Iterator[None]:
     try:
         yield
     finally:
-        _WORK.remove(made)
+        _WORK[:] = [held for held in _WORK if held is not made]  # nested work may have made the same
         for path in made:
             if not path.rsplit("/", 1)[1].startswith(keep):
                 place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,3 +12,12 @@ def test_scratch_deletes_what_is_not_kept(spark):
     assert sorted(r["id"] for r in held.collect()) == [2, 3, 4] and empty.collect() == []
     folder = os.path.dirname(gone.removeprefix("file://"))
     assert folder.startswith(shared_dir(spark)) and not os.path.exists(folder)
+
+
+def test_scratch_inside_scratch(spark):
+    with scratch(spark, keep="outer-"):
+        with scratch(spark, keep="inner-"):
+            inner = materialize(spark.range(3), "inner")
+        outer = materialize(inner, "outer")
+        gone = inner.inputFiles()[0]
+    assert outer.count() == 3 and not os.path.exists(os.path.dirname(gone.removeprefix("file://")))
