@@ -71,7 +71,7 @@ def op7(spark, sf):
     return rated(toxic_crf.with_toxicity(docs, toxic_crf.fit(docs, table(spark, sf, "labels"))), 0.5)
 
 
-@query("op8_suffix_repeats")
+@query("op8_suffix_repeats", twins.SUFFIX_REPEATS)
 def op8(spark, sf):
     cut = suffix_dedup.without_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

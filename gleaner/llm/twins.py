@@ -99,3 +99,18 @@ components AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY
 SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept
 FROM components c LEFT JOIN counts USING (vec_id)
 """
+
+SUFFIX_REPEATS = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+starts AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM docs WHERE n >= 200)),
+twice AS (SELECT doc_id, i FROM starts JOIN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1) USING (k)),
+parted AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM twice WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM parted),
+spans AS (SELECT doc_id, span, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans
+         UNION ALL SELECT d.doc_id, n, coalesce(max(e), 0) FROM docs d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id, n),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s, before) AS held FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(held)) AS kept_sha256
+FROM docs d JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
