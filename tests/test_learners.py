@@ -60,3 +60,62 @@ def test_both_losses_are_searched(spark):
             assert all(low <= r[name] <= high for r in results)
     with pytest.raises(ValueError):
         P.search_space(0, "hinge")
+
+
+def word_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(0, 30))), i % 2) for i in range(60)]
+    return spark.createDataFrame(rows, "id long, text string, labels int")
+
+
+def test_vocabularies_of_several_parts_are_those_of_each(spark):
+    rows = P.add_words(word_rows(spark), "text")
+    members = [F.col("id") % 3 != k for k in range(3)] + [F.col("id") < 0]
+    for size in (3, 8, 12, 500):
+        assert P.vocabularies(rows, members, size) == [P.vocabulary(rows.where(m), size) for m in members]
+
+
+def test_frequent_words_meet_pairs_without_a_shuffle_of_pairs(spark, monkeypatch):
+    rows = P.add_words(word_rows(spark), "text").localCheckpoint()
+    plans = []
+    stored = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or stored(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        P.vocabularies(rows, [F.col("id") < 30, F.col("id") >= 30], 5)
+        pairs = dict(plans)["pair-counts"].split("== Initial Plan ==")[0]
+        assert pairs.count("LeftSemi") == 2 and "SortMergeJoin" not in pairs and pairs.count("Exchange hashpartitioning") == 1
+        monkeypatch.setattr(P, "FREQUENT", 0)  # a list too long to send is joined by a shuffle, with the same result
+        assert P.vocabularies(rows, [F.col("id") < 30], 5) == [P.vocabulary(rows.where("id < 30"), 5)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fold_vectors_are_those_of_a_fit_on_the_folds_own_train_rows(spark):
+    from gleaner.operators.folds import build_folds
+    rows = word_rows(spark)
+    folds = build_folds(rows, "id", "labels", 3, 1, 4)
+    parts = P.fold_parts(rows, folds, "id", "text", 3, max_features=20)
+    stored = P.texts_with_splits(rows, folds, "id", "text", 0).localCheckpoint()
+    for fold in range(3):
+        of = lambda name: P.add_terms(stored.where(F.get("splits", F.lit(fold)) == name))  # noqa: B023, E731
+        own = P.fit_tfidf(of("train"), max_features=20)
+        for name in ("train", "dev", "test"):
+            want = {r["id"]: r["features"] for r in own.transform(of(name)).collect()}
+            assert {r["id"]: r["features"] for r in parts.split(fold, name).collect()} == want and want
+    assert len({stages[0].uid for stages in parts.stages}) == 1
+
+
+def test_fold_models_look_terms_up_once(spark):
+    from gleaner.operators.folds import build_folds
+    rows = word_rows(spark)
+    folds = build_folds(rows, "id", "labels", 3, 1, 4)
+    fit = lambda train, dev: P.weighted_logistic(iterations=2).fit(P.with_class_weight(train, 1.0))
+    _, models = P.cross_validate(rows, folds, "id", "text", 3, fit=fit, max_features=20)
+    alone = P.score_with_folds(rows, [models[1]], "text")
+    both = P.score_with_folds(rows, models, "text")
+    assert both.columns == [*rows.columns, "result"]
+    one = {r["id"]: r["result"]["fold_scores"][0] for r in alone.collect()}
+    assert {r["id"]: r["result"]["fold_scores"][1] for r in both.collect()} == one
+    loaded = [m.copy() for m in models]
+    assert {r["id"]: r["result"]["fold_scores"][1] for r in P.score_with_folds(rows, loaded, "text").collect()} == one
