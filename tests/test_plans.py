@@ -76,3 +76,24 @@ def test_no_python_rows_in_scoring(spark):
     vectors = models.fit_tfidf(df, max_features=50)
     assert "EvalPython" not in plan(vectors.transform(df))
     assert "Exchange" not in plan(vectors.transform(df))
+
+
+def test_runs_of_rare_buckets_stay_out_of_the_shuffle(spark, monkeypatch):
+    from collections import Counter
+    words = ["w%d" % (i * i % 23) for i in range(40)]
+    rows = [(None if i % 3 == 0 else "g%d" % (i % 3), "%s same old words here %d%d" % (" ".join(words[i % 20:i % 20 + 9]), i, i * 7 % 10)) for i in range(400)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    want = Counter()
+    for lang, text in rows:
+        w = text.split()
+        want.update((lang, " ".join(w[i:i + 4])) for i in range(len(w) - 3) if all(len(x) > 1 for x in w[i:i + 4]))
+    best = {(lang, g, n) for lang in (None, "g1", "g2")
+            for g, n in sorted(((g, n) for (at, g), n in want.items() if at == lang), key=lambda x: (-x[1], x[0]))[:10]}
+    for buckets, listed in ((1 << 20, 100_000), (7, 100_000), (1 << 20, 0)):
+        monkeypatch.setattr(P, "BUCKETS", buckets)
+        monkeypatch.setattr(P, "LISTED", listed)
+        out = P.top_ngrams(df, "text", ["lang"])
+        assert {(r["lang"], r["ngram"], r["n"]) for r in out.collect()} == best
+        assert ("LeftSemi" in plan(out)) == (listed > 0)
+    kept = P.frequent_buckets(df, "text", ["lang"], 4, 1).count()
+    assert 3 <= kept < len(want)
