@@ -119,3 +119,20 @@ def test_fold_models_look_terms_up_once(spark):
     assert {r["id"]: r["result"]["fold_scores"][1] for r in both.collect()} == one
     loaded = [m.copy() for m in models]
     assert {r["id"]: r["result"]["fold_scores"][1] for r in P.score_with_folds(rows, loaded, "text").collect()} == one
+
+
+def test_equal_learners_are_fitted_once(spark, monkeypatch):
+    from gleaner.operators.folds import build_folds
+    rows = word_rows(spark)
+    folds = build_folds(rows, "id", "labels", 2, 1, 4)
+    fits, fit = [], P.RandomForestClassifier.fit
+    monkeypatch.setattr(P.RandomForestClassifier, "fit", lambda self, df: fits.append(self.getImpurity()) or fit(self, df))
+    learners = P.forest_grid([2], seed=3, depth=2)
+    held = P.baseline_predictions(rows, folds, "id", "text", 2, learners, max_features=20).collect()
+    assert sorted(fits) == ["entropy", "entropy", "gini", "gini"]
+    by = {name: {(r["id"], r["fold"], r["score"], r["prediction"]) for r in held if r["model"] == name} for name in learners}
+    assert by["rf entropy 2"] == by["rf log_loss 2"] and all(len(x) == 60 for x in by.values())
+    other = {"a": P.forest(2, "gini", 3, 2), "b": P.forest(2, "gini", 4, 2)}  # another seed is another model
+    fits.clear()
+    P.baseline_predictions(rows, folds, "id", "text", 2, other, max_features=20)
+    assert len(fits) == 4
