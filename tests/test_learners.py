@@ -136,3 +136,11 @@ def test_equal_learners_are_fitted_once(spark, monkeypatch):
     fits.clear()
     P.baseline_predictions(rows, folds, "id", "text", 2, other, max_features=20)
     assert len(fits) == 4
+
+
+def test_vectors_of_the_rows_themselves_are_those_of_the_fitted_stages(spark):
+    held = P.add_terms(P.add_words(word_rows(spark), "text"))
+    want = {r["id"]: r["features"] for r in P.fit_tfidf(held, max_features=20).transform(held).collect()}
+    out = P.tfidf_vectors(held, ["id"], max_features=20)
+    assert out.columns == ["id", "features"] and {r["id"]: r["features"] for r in out.collect()} == want
+    assert "terms" not in out._jdf.queryExecution().analyzed().toString()  # no text is looked up again by what reads the vectors
