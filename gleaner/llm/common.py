@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.session import materialize
+from gleaner.session import materialize, ship  # noqa: F401
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,24 +26,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
-    context = spark.sparkContext
-    if getattr(context, "_gleaner_shipped", False):
-        return spark
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="gleaner-package-"), "gleaner.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as held:
-        for folder, _, names in os.walk(here):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    held.write(full, os.path.join("gleaner", os.path.relpath(full, here)))
-    context.addPyFile(path)
-    context._gleaner_shipped = True
-    return spark
-
-
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns of ``df`` by name, whatever stands in their names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
